@@ -1,6 +1,6 @@
 """All registered queries; importing a module registers what it defines."""
 
-from flowloom.catalog import q_enrich, q_sources  # noqa: F401
-from flowloom.catalog.registry import ORACLES, QUERIES
+from flowloom.catalog import q_enrich, q_features, q_sampling, q_sources  # noqa: F401
+from flowloom.catalog.registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -51,7 +51,11 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_ctes(sql, *needs)
+            _SQL[name] = (sql, needs)
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    return {name: with_ctes(sql, *needs) for name, (sql, needs) in _SQL.items()}

@@ -102,25 +102,29 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str], sums: dict[
 
 
 def hash_rank(df: DataFrame, classes: list[str], key: Column, tie: str, out: str = "rn",
-              below: Column | None = None) -> DataFrame:
+              below: Column | None = None, total: str | None = None) -> DataFrame:
     """Number the rows of each class 1, 2, ... in the order of a seeded md5 key.
 
-    ``below`` (an expression that may use the class columns) keeps only rows numbered at most
-    that high; whole slices past it are dropped before anything is sorted.
+    ``total`` names a column that gets the row count of the class.  ``below`` (an expression that
+    may use the class and total columns) keeps only rows numbered at most that high; whole slices
+    past it are dropped before anything is sorted.  Class columns must not be null.
     """
     cols = df.columns
     slices = default_slices(df.sparkSession)
     keyed = df.withColumn("_key", key).withColumn(SLICE, hash_slice(F.col("_key"), slices))
+    # one row per (class, slice): a few thousand rows however large the table is
     counts = keyed.groupBy(SLICE, *classes).agg(F.count(F.lit(1)).alias("_before"))
-    ranked = keyed.join(sums_before(counts, classes, ["_before"]) if classes else
-                        _overall_before(counts), [SLICE, *classes])
+    everything = Window.partitionBy(*(classes or [F.lit(1)]))
+    counts = counts.withColumn(total or "_total", F.sum("_before").over(everything))
+    before = sums_before(counts, classes or [total or "_total"], ["_before"])
+    ranked = keyed.join(before, [SLICE, *classes])
     if below is not None:
         ranked = ranked.where(F.col("_before") < below)
     local = Window.partitionBy(SLICE, *classes).orderBy("_key", tie)
     ranked = ranked.withColumn(out, F.row_number().over(local) + F.col("_before"))
     if below is not None:
         ranked = ranked.where(F.col(out) <= below)
-    return ranked.select(*cols, out)
+    return ranked.select(*cols, out, *([total] if total else []))
 
 
 def _overall_before(counts: DataFrame) -> DataFrame:
