@@ -155,7 +155,7 @@ _METRIC = {
 _SCALE = "case when metric in ('TP', 'TN', 'FP', 'FN') then 1000.0e0 else 1.0e0 end"
 cte("metric_rows", _select(_METRIC, "lineitem"))
 cte("metrics_long",
-    f"select dataset, model, metric, iteration, round(avg(score) * {_SCALE}, 5) as value "
+    f"select dataset, model, metric, iteration, round(avg(score) * {_SCALE}, 10) as value "
     "from metric_rows group by dataset, model, metric, iteration", "metric_rows")
 
 
@@ -165,30 +165,25 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (rows.groupBy("dataset", "model", "metric", "iteration")
             .agg((F.avg("score")).alias("m"))
             .select("dataset", "model", "metric", "iteration",
-                    F.round(F.col("m") * scale, 5).alias("value")))
+                    F.round(F.col("m") * scale, 10).alias("value")))
 
 
 # --- predictions: every line item is one scored case -------------------------------------------
 _SCORED = {
-    "row_id": "{line_id}",
     "truth": "cast(case when l_quantity > 30 then 1 else 0 end as int)",
-    "score": "round(l_discount * 4 + l_tax + l_quantity / 80.0e0, 3)",
+    "score": "round(l_discount * 4 + l_tax + l_quantity / 80.0e0, 5)",
+    "s1": "l_discount * 10", "s2": "l_tax * 10",
     "truth3": "cast(case when l_returnflag = 'A' then 0 when l_returnflag = 'N' then 1 else 2 end as int)",
     "guess3": "cast((l_linenumber + case when l_returnflag = 'A' then 0 when l_returnflag = 'N' "
               "then 1 else 2 end) % 3 as int)",
 }
-_LINE_ID = {
-    "spark": "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, "
-             "l_extendedprice))",
-}
-cte("scored", _select({k: v for k, v in _SCORED.items() if k != "row_id"}, "lineitem"))
+cte("scored", _select(_SCORED, "lineitem"))
 cte("predicted", "select *, cast(case when score >= 0.6 then 1 else 0 end as int) as guess "
     "from scored", "scored")
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = {k: v for k, v in _SCORED.items() if k != "row_id"}
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*_exprs(spec, _SPARK))
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*_exprs(_SCORED, _SPARK))
     return rows.withColumn("guess", F.when(F.col("score") >= 0.6, 1).otherwise(0))
 
 
