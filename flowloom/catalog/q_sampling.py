@@ -54,10 +54,10 @@ def sample_with_replacement(spark, sf):
                                     F.countDistinct("row_id").alias("n_rows"))
 
 
-@query("model_sample", "select row_id, dup_no, case when label = 'normal' then 0 else 1 end as category, "
+@query("model_table", "select row_id, dup_no, case when label = 'normal' then 0 else 1 end as category, "
        "case label when 'normal' then 0 when 'backdoor' then 1 when 'ddos' then 3 "
        "when 'scanning' then 6 end as class from quota", ("quota",))
-def model_sample(spark, sf):
+def model_table(spark, sf):
     """Quota sample, shuffle and both labellings in one plan."""
     rows = P.quota_sample(B.base(spark, sf).select("row_id", "label"), _TARGETS)
     rows = P.shuffle(rows, copy="dup_no")
