@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowloom import schemas as S
 from flowloom.catalog import bridge as B
 from flowloom.catalog.q_enrich import rounded
+from flowloom.catalog.q_sources import FLOW_GAP, FLOWS_SQL
 from flowloom.catalog.registry import cte, query
 from flowloom.operators import detectors as D
 from flowloom.operators import metrics as M
@@ -20,6 +21,7 @@ from flowloom.operators.splits import supervised_split, unsupervised_split
 from flowloom.plans import experiment as E
 from flowloom.plans import protocols as P
 from flowloom.plans import tuning as T
+from flowloom.session import materialize
 from flowloom.streaming import flows as R
 from flowloom.streaming.replay import replay
 
@@ -40,14 +42,14 @@ def _table(spark, sf):
 
 
 def _parts(spark, sf):
-    parts = unsupervised_split(_table(spark, sf))
+    parts = materialize(unsupervised_split(_table(spark, sf)), "split")
     benign = parts.where("split = 'train'").drop("split")
     return benign, parts.where("split = 'valid'").drop("split"), \
         parts.where("split = 'test'").drop("split")
 
 
 def _fit_supervised(spark, sf, name):
-    split = supervised_split(_table(spark, sf))
+    split = materialize(supervised_split(_table(spark, sf)), "split")
     model = _SUP[name](FEATURES, 42).fit(split.where("split = 'train'"))
     return model.predict(split.where("split = 'test'")).select("row_id", S.TARGET, "guess", "score")
 
@@ -286,7 +288,7 @@ def counters_stream(spark, sf):
                   lambda s: R.counters_stream(s, ["dst_ip"], total))
 
 
-@query("flow_assembly_stream")
+@query("flow_assembly_stream", FLOWS_SQL + f" having max(ts) + {FLOW_GAP} <= (select max(ts) from packets)", ("packets",))
 def flow_assembly_stream(spark, sf):
     packets = B.packets(spark, sf)
     middle = packets.agg(F.percentile_approx("ts", 0.5)).first()[0]
@@ -302,7 +304,17 @@ def score_stream(spark, sf):
                   lambda s: R.score_stream(s, model).select("row_id", "guess", "score"))
 
 
-@query("vocab_drift_stream")
+_WIDTH = 600000
+_DRIFT = [("connection_state", "connection_state <> '' and connection_state not in ('S0', 'SF', 'REJ', 'OTH')"),
+          ("requested_service", "requested_service <> '' and requested_service not in ('-', 'dns', 'http')"),
+          ("protocol", "protocol not in (6, 17)")]
+
+
+# windows the watermark has passed
+@query("vocab_drift_stream", "select * from (" + " union all ".join(
+    f"select (stime // {_WIDTH}) * {_WIDTH} as start_ms, '{c}' as field, cast({c} as varchar) as value, "
+    f"count(*) as n from raw where {cond} group by all" for c, cond in _DRIFT)
+    + f") where start_ms + {_WIDTH} <= (select max(stime) from raw)", ("raw",))
 def vocab_drift_stream(spark, sf):
     raw = B.raw_flows(spark, sf).select("row_id", "source_file", "stime", "connection_state",
                                         "requested_service", "protocol")

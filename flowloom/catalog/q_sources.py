@@ -11,6 +11,7 @@ from flowloom.catalog.registry import query
 from flowloom.functions import normalize as N
 from flowloom.operators import contracts as C
 from flowloom.operators.flows import assemble_flows
+from flowloom.session import shared_path
 from flowloom.sources import files as I
 
 _BASE_COLS = ["row_id", "source_file", *S.BASE.fieldNames()]
@@ -26,7 +27,7 @@ def _with_ids(df):
 @query("scan_flows", "select {} from base".format(
     _BASE_SQL.replace('"dns_query"', "nullif(dns_query, '') as dns_query")), ("base",))
 def scan_flows(spark, sf):
-    path = I.scratch(spark, "scan")
+    path = shared_path(spark, "scan")
     schema = T.StructType([T.StructField("row_id", T.LongType()),
                            T.StructField("source_file", T.StringType()), *S.BASE.fields])
     _with_ids(B.base(spark, sf)).write.option("header", True).csv(path)
@@ -36,7 +37,7 @@ def scan_flows(spark, sf):
 @query("scan_folder", "select source_file, count(*) as n_rows, sum(dst_ip_bytes) as dst_bytes "
        "from base group by source_file", ("base",))
 def scan_folder(spark, sf):
-    path = I.scratch(spark, "folder")
+    path = shared_path(spark, "folder")
     I.write_stage(_with_ids(B.base(spark, sf)), path, fmt="csv")
     df = (spark.read.schema(_FILE_SCHEMA).option("header", True)
           .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(path))
@@ -46,7 +47,7 @@ def scan_folder(spark, sf):
 
 @query("label_from_path", "select row_id, label from base where label <> 'backdoor'", ("base",))
 def label_from_path(spark, sf):
-    path = I.scratch(spark, "captures")
+    path = shared_path(spark, "captures")
     folders = {"normal": "Normal", "scanning": "Scanning", "ddos": "DDos"}  # others: no mapping
     rows = B.base(spark, sf).select(
         "row_id", F.coalesce(N.coded(F.col("label"), folders), F.lit("Firmware")).alias("folder"))
@@ -57,14 +58,14 @@ def label_from_path(spark, sf):
 @query("write_stage", "select source_file, count(*) as n_rows from base group by source_file",
        ("base",))
 def write_stage(spark, sf):
-    path = I.scratch(spark, "stage")
+    path = shared_path(spark, "stage")
     I.write_stage(_with_ids(B.base(spark, sf)), path)
     return spark.read.parquet(path).groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def _half_done(spark, sf):
     base = _with_ids(B.base(spark, sf))
-    path = I.scratch(spark, "done")
+    path = shared_path(spark, "done")
     first = base.agg(F.min("source_file").alias("source_file"))
     I.write_stage(base.join(F.broadcast(first), "source_file", "left_semi"), path)
     return base, spark.read.parquet(path)
@@ -87,7 +88,7 @@ def skip_existing_anti(spark, sf):
 @query("skip_bad_files", "select 'read' as status, count(*) as n from base union all "
        "select 'skipped files', 1", ("base",))
 def skip_bad_files(spark, sf):
-    path = I.scratch(spark, "tolerant")
+    path = shared_path(spark, "tolerant")
     _with_ids(B.base(spark, sf)).write.parquet(f"{path}/good")
     # one damaged file among the good ones: text where parquet is expected
     B.table(spark, sf, "region").selectExpr("cast(r_name as string)").coalesce(1).write.text(
@@ -108,7 +109,7 @@ _MODEL_SQL = ", ".join(f"round({c}, 4) as {c}" if c in _MODEL_ROUND else c
 @query("load_normalized", f"select {_MODEL_SQL.replace(', dur', '')}, category from model_table",
        ("model_table",))
 def load_normalized(spark, sf):
-    path = I.scratch(spark, "model")
+    path = shared_path(spark, "model")
     table = B.model_table(spark, sf)
     table.withColumns({c: F.round(c, d) for c, d in _MODEL_ROUND.items()}).drop(
         "category").write.parquet(path)
@@ -128,16 +129,16 @@ def dataset_fingerprint(spark, sf):
 
 
 # --- packets to flows ---------------------------------------------------------------------------
-_GAP = 120000
+FLOW_GAP = 120000
 
 
-@query("flow_assembly", f"""
+FLOWS_SQL = f"""
 with k as (select *, case when (src_ip, src_port) <= (dst_ip, dst_port) then src_ip else dst_ip end as a_ip,
     case when (src_ip, src_port) <= (dst_ip, dst_port) then src_port else dst_port end as a_port,
     case when (src_ip, src_port) <= (dst_ip, dst_port) then dst_ip else src_ip end as b_ip,
     case when (src_ip, src_port) <= (dst_ip, dst_port) then dst_port else src_port end as b_port
   from packets),
-g as (select *, case when ts - lag(ts) over w < {_GAP} then 0 else 1 end as fresh from k
+g as (select *, case when ts - lag(ts) over w < {FLOW_GAP} then 0 else 1 end as fresh from k
   window w as (partition by a_ip, a_port, b_ip, b_port, protocol order by ts, row_id)),
 s as (select *, sum(fresh) over (partition by a_ip, a_port, b_ip, b_port, protocol
   order by ts, row_id rows between unbounded preceding and current row) as session from g),
@@ -151,9 +152,12 @@ select first_ip as src_ip, case when first_ip = a_ip and first_port = a_port the
   count(*) filter (where not (src_ip = first_ip and src_port = first_port)) as dst_pkts,
   coalesce(sum(bytes) filter (where src_ip = first_ip and src_port = first_port), 0) as src_ip_bytes,
   coalesce(sum(bytes) filter (where not (src_ip = first_ip and src_port = first_port)), 0) as dst_ip_bytes
-from d group by a_ip, a_port, b_ip, b_port, protocol, session, first_ip, first_port""", ("packets",))
+from d group by a_ip, a_port, b_ip, b_port, protocol, session, first_ip, first_port"""
+
+
+@query("flow_assembly", FLOWS_SQL, ("packets",))
 def flow_assembly(spark, sf):
-    out = assemble_flows(B.packets(spark, sf), gap_ms=_GAP)
+    out = assemble_flows(B.packets(spark, sf), gap_ms=FLOW_GAP)
     return out.select("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "stime", "ltime",
                       "dur", "src_pkts", "dst_pkts", "src_ip_bytes", "dst_ip_bytes")
 

@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.session import default_slices
+from flowloom.session import default_slices, quoted
 
 SLICE = "_slice"
 _FIRST = Window.unboundedPreceding
@@ -124,7 +124,7 @@ def hash_rank(df: DataFrame, classes: list[str], key: Column, tie: str, out: str
     ranked = ranked.withColumn(out, F.row_number().over(local) + F.col("_before"))
     if below is not None:
         ranked = ranked.where(F.col(out) <= below)
-    return ranked.select(*cols, out, *([total] if total else []))
+    return ranked.select(*quoted(cols), out, *([total] if total else []))
 
 
 def _overall_before(counts: DataFrame) -> DataFrame:

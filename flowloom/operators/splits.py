@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.normalize import seeded_key
 from flowloom.operators.prefix import hash_rank
+from flowloom.session import quoted
 
 
 def _test_quota(ranked_counts: DataFrame, scope: list[str], target: str, share: float) -> DataFrame:
@@ -33,7 +34,7 @@ def supervised_split(df: DataFrame, seed: int = 42, target: str = "category",
     quota = _test_quota(counts, scope, target, share)
     side = F.when(F.col("rn") <= F.col("_quota"), "test").otherwise("train")
     return (ranked.join(quota, [*scope, target]).withColumn("split", side)
-            .select(*df.columns, "split"))
+            .select(*quoted(df.columns), "split"))
 
 
 def mccv_splits(df: DataFrame, k: int, seed: int = 42, target: str = "category",
@@ -55,7 +56,7 @@ def unsupervised_split(df: DataFrame, seed: int = 42, target: str = "category",
     test = F.ceil(F.lit(0.5) * used)
     rest = F.when(F.col(target) == 0, "train").otherwise("unused")
     side = F.when(rn <= test, "test").when(rn <= used, "valid").otherwise(rest)
-    return ranked.withColumn("split", side).select(*df.columns, "split")
+    return ranked.withColumn("split", side).select(*quoted(df.columns), "split")
 
 
 def unsupervised_split_overlap(df: DataFrame, seed: int = 42, target: str = "category",
@@ -74,7 +75,7 @@ def unsupervised_split_overlap(df: DataFrame, seed: int = 42, target: str = "cat
 def stratified_kfold(df: DataFrame, folds: int = 10, seed: int = 42, target: str = "category",
                      row_id: str = "row_id", out: str = "fold") -> DataFrame:
     ranked = hash_rank(df, [target], seeded_key(seed, F.col(row_id)), row_id)
-    return ranked.withColumn(out, (F.col("rn") % folds).cast("int")).select(*df.columns, out)
+    return ranked.withColumn(out, (F.col("rn") % folds).cast("int")).select(*quoted(df.columns), out)
 
 
 def split_summary(df: DataFrame, target: str = "category") -> DataFrame:

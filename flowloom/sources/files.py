@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,13 +10,6 @@ from pyspark.sql import types as T
 
 from flowloom import schemas as S
 from flowloom.functions.normalize import binary_category, coded
-from flowloom.session import ensure_checkpoint_dir
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def _reader(spark: SparkSession, schema: T.StructType | None, fmt: str):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.sources.files import scratch
+from flowloom.session import shared_path
 
 
 def replay(spark: SparkSession, parts: list[DataFrame],
@@ -15,7 +15,7 @@ def replay(spark: SparkSession, parts: list[DataFrame],
 
     Every run takes up the checkpointed state of the one before, as after a restart.
     """
-    root = scratch(spark, "stream")
+    root = shared_path(spark, "stream")
     for part in parts:
         part.write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(part.schema).parquet(f"{root}/in")
