@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from flowloom import schemas as S
 from flowloom.catalog.registry import cte
+from flowloom.operators.contracts import required
 from flowloom.plans.base import base_table, base_table_dashed
 
 
@@ -129,6 +130,11 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_table(raw_flows(spark, sf_dir))
 
 
+def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base flows with every required field."""
+    return required(base(spark, sf_dir), S.REQUIRED)
+
+
 def base_dashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_table_dashed(raw_flows(spark, sf_dir))
 
@@ -205,7 +211,7 @@ cte("model_table",
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.functions import normalize, signal
 
-    rows = base(spark, sf_dir).dropna(subset=S.REQUIRED)
+    rows = complete(spark, sf_dir)
     v = signal.signal(*[F.col(c) for c in _SIG])
     return rows.select(
         "row_id", *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES[:7]],

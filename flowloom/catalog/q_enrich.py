@@ -24,7 +24,7 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 
 def _sliced(spark, sf):
-    source = E.add_pair(time_slices(B.base(spark, sf).dropna(subset=S.REQUIRED)))
+    source = E.add_pair(time_slices(B.complete(spark, sf)))
     return spread(source), source
 
 
@@ -149,7 +149,7 @@ from (select distinct src_ip, stime // 400000 as bin from req) a
 join req b on a.src_ip = b.src_ip and b.stime < a.bin * 400000
 group by a.src_ip, a.bin""", ("req",))
 def bucket_carry(spark, sf):
-    flows = B.base(spark, sf).dropna(subset=S.REQUIRED)
+    flows = B.complete(spark, sf)
     width = 400000
     cells = (flows.withColumn("bin", F.floor(F.col("stime") / width))
              .groupBy("src_ip", "bin")

@@ -95,7 +95,7 @@ _SCALED = ", ".join(
 
 @query("minmax", f"select row_id, {_SCALED} from req, first_fit", ("req", "first_fit"))
 def minmax(spark, sf):
-    rows = B.base(spark, sf).dropna(subset=S.REQUIRED)
+    rows = B.complete(spark, sf)
     out = E.fit_minmax(E.first_file(rows), _NUM).transform(rows)
     return out.select("row_id", *[F.round(c, 6).alias(c) for c in _NUM])
 
@@ -135,7 +135,7 @@ def one_hot_fit(spark, sf):
 
 @query("concat_side_by_side", f"select row_id, src_pkts, dst_pkts, {_KNOWN_SQL} from req", ("req",))
 def concat_side_by_side(spark, sf):
-    rows = B.base(spark, sf).dropna(subset=S.REQUIRED)
+    rows = B.complete(spark, sf)
     return _dashes(E.one_hot(rows.select("row_id", "src_pkts", "dst_pkts", *S.CATEGORICAL),
                              S.KNOWN_VOCAB))
 
@@ -154,7 +154,7 @@ _STD = ", ".join(f"round((cast({c} as double) - (select avg({c}) from req)) / (s
 
 @query("standard_scale", f"select row_id, {_STD} from req", ("req",))
 def standard_scale(spark, sf):
-    rows = B.base(spark, sf).dropna(subset=S.REQUIRED)
+    rows = B.complete(spark, sf)
     out = E.fit_standard(rows, _SIG).transform(rows)
     return out.select("row_id", *[F.round(c, 5).alias(c) for c in _SIG])
 

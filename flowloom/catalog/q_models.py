@@ -265,7 +265,7 @@ def _by_file(df):
 
 
 def _req(spark, sf):
-    return B.base(spark, sf).dropna(subset=S.REQUIRED).select(
+    return B.complete(spark, sf).select(
         "row_id", "source_file", "stime", "src_ip", "dst_ip", "src_ip_bytes", "dst_ip_bytes",
         "src_pkts", "dst_pkts", "dur")
 

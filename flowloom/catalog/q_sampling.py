@@ -223,7 +223,7 @@ cte("united", "select feature, row_number() over (order by list_no, rank) as ord
 
 def ranked_lists(spark, sf):
     """Per file, the four features that vary most: three ranked lists taken from the data."""
-    req = B.base(spark, sf).dropna(subset=S.REQUIRED)
+    req = B.complete(spark, sf)
     cv = req.groupBy("source_file").agg(*[
         F.round(F.stddev_pop(c) / F.avg(c), 6).alias(c) for c in LIST_FEATURES])
     long = cv.unpivot(["source_file"], LIST_FEATURES, "feature", "score")
@@ -251,7 +251,7 @@ _LONG_REQ = (f"(select row_id, {', '.join(f'cast({c} as double) as {c}' for c in
 def _union_projection(spark, sf):
     names = [r.feature for r in
              X.feature_union(ranked_lists(spark, sf)).orderBy("ordinal").collect()]
-    return X.project_union(B.base(spark, sf).dropna(subset=S.REQUIRED), names), names
+    return X.project_union(B.complete(spark, sf), names), names
 
 
 @query("project_union", f"select feature, count(*) as n_rows from {_LONG_REQ} where feature in "

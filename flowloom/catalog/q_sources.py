@@ -206,7 +206,7 @@ def base_table(spark, sf):
 
 @query("required_fields", f"select {_BASE_SQL} from req", ("req",))
 def required_fields(spark, sf):
-    return _with_ids(B.base(spark, sf).dropna(subset=S.REQUIRED))
+    return _with_ids(B.complete(spark, sf))
 
 
 @query("skip_bad_rows", """select row_id, try_cast(replace(dns_text, 'x', '') as int) as n,
@@ -229,7 +229,7 @@ def skip_bad_rows(spark, sf):
        "and src_ip_bytes is not null and label is not null", ("base",))
 def drop_nulls_model(spark, sf):
     cols = ["proto", "conn_state", "service", "src_ip_bytes", "label"]
-    return B.base(spark, sf).select("row_id", *cols).dropna(subset=cols)
+    return C.required(B.base(spark, sf).select("row_id", *cols), cols)
 
 
 @query("fill_sentinels", """select row_id, coalesce(nullif(dns_query, ''), '-') as dns_query,

@@ -26,7 +26,7 @@ def class_counts(spark, sf):
 @query("stream_cardinality", "select count(distinct src_ip) as n_src, count(distinct concat(src_ip, '|', "
        "dst_ip)) as n_pairs from req", ("req",))
 def stream_cardinality(spark, sf):
-    req = B.base(spark, sf).dropna(subset=S.REQUIRED)
+    req = B.complete(spark, sf)
     return req.agg(F.countDistinct("src_ip").alias("n_src"),
                    F.countDistinct("src_ip", "dst_ip").alias("n_pairs"))
 
@@ -86,7 +86,7 @@ cte("gmi", f"""with j as (select flow_id, src_ip_bytes as a, dst_ip_bytes as b,
 
 
 def _grouped(spark, sf):
-    req = B.base(spark, sf).dropna(subset=S.REQUIRED)
+    req = B.complete(spark, sf)
     return req.withColumn("flow_id", F.concat_ws("-", "src_ip", "proto"))
 
 

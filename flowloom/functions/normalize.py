@@ -26,8 +26,13 @@ def flag_int(flag: Column) -> Column:
 
 
 def closed_vocab(c: Column, allowed: list[str]) -> Column:
-    """Missing -> ``None``, a known value stays, anything else -> ``Other``."""
-    return (F.when(c.isNull() | (c == ""), "None").when(c.isin(allowed), c).otherwise("Other"))
+    """Missing -> ``None``, a known value stays, anything else -> ``Other``.
+
+    The outer coalesce changes no value; it tells the optimizer that the result is never null, so
+    that a later required-field check on it costs nothing.
+    """
+    kept = F.when(c.isNull() | (c == ""), "None").when(c.isin(allowed), c).otherwise("Other")
+    return F.coalesce(kept, F.lit("Other"))
 
 
 def conn_state_vocab(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom import schemas as S
-from flowloom.operators.contracts import align
+from flowloom.operators.contracts import align, required
 
 _MAX_VOCAB = 1000
 
@@ -91,8 +91,7 @@ def encode(df: DataFrame, categorical: list[str] | None = None, numeric: list[st
     categorical = categorical or S.CATEGORICAL
     numeric = numeric or S.NUMERIC
     rows = inject_absent(df, categorical)
-    quoted = [f"`{c}`" for c in [*categorical, *numeric, label]]
-    rows = rows.dropna(subset=quoted)
+    rows = required(rows, [*categorical, *numeric, label])
     fit = first_file(rows) if fit_scope == "first_file" else rows
     scaled = fit_minmax(fit, numeric).transform(rows)
     vocab = vocab or fit_vocab(fit, categorical)

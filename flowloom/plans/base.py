@@ -19,7 +19,7 @@ def base_table(raw: DataFrame) -> DataFrame:
         N.falsy_default(c("src_port"), 0).alias("src_port"),
         N.falsy_default(c("dst_port"), 0).alias("dst_port"),
         N.proto_name(c("protocol")).alias("proto"), "stime", "ltime",
-        N.ms_to_seconds(F.coalesce(c("duration_ms"), F.lit(0))).alias("dur"),
+        F.coalesce(N.ms_to_seconds(c("duration_ms")), F.lit(0.0)).alias("dur"),
         N.falsy_default(c("dns_query"), "").alias("dns_query"),
         N.flag_text(c("dns_rejected")).alias("dns_rejected"),
         N.flag_text(c("dns_rd")).alias("dns_RD"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowloom import schemas as S
 from flowloom.functions import normalize as N
 from flowloom.functions import signal as G
+from flowloom.operators.contracts import required
 from flowloom.operators.counters import running_bytes, running_count
 from flowloom.operators.damped import Stat, damped
 from flowloom.operators.prefix import SLICE, spread, time_slices
@@ -24,10 +25,6 @@ MI_STATS = [Stat("MI_dir_L0.01_weight", 0.01, "weight"), Stat("MI_dir_L0.1_weigh
 JITTER_STATS = [Stat("HH_jit_L1_mean", 1.0, "mean")]
 
 
-def required(df: DataFrame, fields: list[str]) -> DataFrame:
-    return df.dropna(subset=fields)
-
-
 def add_pair(df: DataFrame, a: str = "src_ip", b: str = "dst_ip") -> DataFrame:
     """Unordered address pair as two columns."""
     return df.withColumns({"_lo": F.least(a, b), "_hi": F.greatest(a, b)})
