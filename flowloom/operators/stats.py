@@ -76,11 +76,15 @@ def paired_t(pairs: DataFrame) -> DataFrame:
 def shapiro(pairs: DataFrame) -> DataFrame:
     """Normality of the paired differences; 1 when all are equal.
 
-    A group holds one value per iteration; past the test's 5000 values the p-value is missing.
+    The test is defined up to 5000 values; a longer group gets a missing p-value and is never
+    gathered.
     """
-    values = F.when(F.count("diff") <= 5000, F.collect_list("diff"))
-    out = pairs.groupBy(*GROUP).agg(values.alias("_v"), F.min("diff").alias("_lo"),
-                                    F.max("diff").alias("_hi"))
+    ends = pairs.groupBy(*GROUP).agg(F.count("diff").alias("_n"), F.min("diff").alias("_lo"),
+                                     F.max("diff").alias("_hi"))
+    short = pairs.join(ends.where("_n <= 5000").select(*GROUP), GROUP, "left_semi")
+    lists = short.groupBy(*GROUP).agg(F.collect_list("diff").alias("_v"))
+    out = ends.join(lists, GROUP, "left").withColumn("_v", F.coalesce("_v", F.array().cast(
+        "array<double>")))
     p = F.when(F.col("_lo") == F.col("_hi"), 1.0).otherwise(_shapiro_p("_v"))
     return out.select(*GROUP, F.when(~F.isnan(p), p).alias("shapiro_p"))
 
