@@ -12,6 +12,7 @@ from flowloom.functions import signal as G
 from flowloom.operators import encode as E
 from flowloom.operators import select as X
 from flowloom.operators import splits as L
+from flowloom.session import materialize
 
 _SIG = ["src_ip_bytes", "dst_ip_bytes", "src_pkts", "dst_pkts"]
 
@@ -186,7 +187,8 @@ def mi_binned(spark, sf):
 
 
 def _train(spark, sf):
-    return L.supervised_split(B.model_table(spark, sf)).where("split = 'train'")
+    split = materialize(L.supervised_split(B.model_table(spark, sf)), "split")
+    return split.where("split = 'train'")
 
 
 @query("mi_topk_train_only", "select feature, round(mi, 6) as mi from mi_train "

@@ -116,3 +116,20 @@ def test_flow_direction_and_gap(spark):
     assert (first.src_ip, first.src_pkts, first.dst_pkts) == ("b", 1, 1)
     assert (first.src_ip_bytes, first.dst_ip_bytes, first.dur) == (10, 20, 0.05)
     assert (second.src_ip, second.src_pkts, second.dst_pkts) == ("a", 1, 0)
+
+
+def test_enrichment_moves_the_rows_once(spark):
+    from flowloom.catalog import bridge
+    from flowloom.plans.enrich import enrich
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = enrich(bridge.base(spark, "/root/testdata/sf0.001"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the rows themselves, and the narrow copy the jitter totals are taken from
+    assert plan.count("REPARTITION_BY_COL") == 2
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 6 and all("SortMergeJoin [_slice" in line for line in joins)
