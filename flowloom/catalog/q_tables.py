@@ -283,10 +283,10 @@ _Q = ["low", "q1", "median", "q3", "high"]
 
 
 @query("box_stats", "select dataset, model, metric, " + ", ".join(
-    f"round(quantile_cont(value, {i / 4}), 8) as {n}" for i, n in enumerate(_Q))
+    f"round(quantile_cont(value, {i / 4}), 6) as {n}" for i, n in enumerate(_Q))
     + " from metrics_long group by dataset, model, metric", ("metrics_long",))
 def box_stats(spark, sf):
-    return _r(R.box_stats(B.metrics_long(spark, sf)), 8)
+    return _r(R.box_stats(B.metrics_long(spark, sf)), 6)
 
 
 @query("long_table_profile", "select count(*) as n_rows, count(distinct metric) as n_metrics, "
