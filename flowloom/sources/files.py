@@ -95,10 +95,10 @@ class DatasetConfig:
 
 # fixed values: the three modelling tables and the columns each must drop
 DATASETS = {
-    "OG10": DatasetConfig("OG10", "Ton-IoT-OGFets.csv", "category", None, ("label", "type")),
-    "Gen10": DatasetConfig("Gen10", "TonIoT-ManualFets.csv", "category", None,
+    "OG10": DatasetConfig("OG10", "OG10.csv", "category", None, ("label", "type")),
+    "Gen10": DatasetConfig("Gen10", "Gen10.csv", "category", None,
                            ("proto-number", "stime")),
-    "GenS10": DatasetConfig("GenS10", "TonIoT-30ShapFets.csv", "label", "binary_normal",
+    "GenS10": DatasetConfig("GenS10", "GenS10.csv", "label", "binary_normal",
                             ("ltime",)),
 }
 
