@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.llm import oracles
-from flowloom.llm.common import table
+from flowloom.llm.common import fold, table
 from flowloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,46 @@ def query(fn):
     return fn
 
 
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.secrets import secret_scan
+
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["kind"] != "format")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        of = F.size(F.filter("secrets", lambda s: s["kind"] == kind))
+        return of.cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.col("secrets")).alias("spans"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.toxicity import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold(F.col("doc_id"), 4) == 2
+    return toxicity(docs, labels.where(~held)).select(
+        "doc_id", held.alias("held_out"), "score", "predicted", "windows")
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.language import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 3) == 1
+    return language_id(docs, docs.where(~held)).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.warc import archive_folder, read_archives, write_archives
@@ -36,6 +76,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.ranking import quality_rank
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold(F.col("doc_id"), 5) == 0
+    return quality_rank(docs, labels.where(~held)).select(
+        "doc_id", held.alias("held_out"), "score", "predicted", "utility")
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.mixing import pareto_mix
