@@ -38,22 +38,18 @@ def uniform(key: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left",
-               salts: int = 32) -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join facts that have one row per key (null is a key) to rows whose keys may be hot.
 
-    Few facts, by count, are broadcast.  Otherwise every fact is copied under each salt and the rows
-    are dealt over (key, salt), so that a hot key spreads over ``salts`` tasks.
+    Few facts, by count, are broadcast.  Otherwise both sides are dealt by the key; the partition of a
+    hot key is then split at run time, as the facts of a key are one row.
     """
     facts = facts.select(*[c(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                          *[c(x) for x in facts.columns if x not in keys])
     same = [c(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    drop = [f"_k{i}" for i in range(len(keys))]
     if len(facts.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(facts), same, how).drop(*drop)
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c(x) for x in rows.columns]), F.lit(salts)))
-    facts = facts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(facts, [*same, rows["_salt"] == facts["_s"]], how).drop(*drop, "_s", "_salt")
+        facts = F.broadcast(facts)
+    return rows.join(facts, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -1,5 +1,33 @@
 """SQL twins of the operator queries, for DuckDB."""
 
+# Windows are compared as texts here; documents of the tables have distinct ids.
+OP4_LINE_DEDUP = r"""
+with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as x from documents),
+r as (select doc_id, x, unnest(range(1, len(x) + 1)) as i from d),
+a as (select doc_id, i, x[i] as line, len(regexp_extract_all(x[i], '[^\x20\x09-\x0D]+')) as n from r),
+l as (select *, row_number() over o - 1 as seq, sum(n) over o as upto from a where n > 0
+      window o as (partition by doc_id order by i)),
+w as (select a.doc_id, a.seq, min(b.seq) as till from l a join l b
+      on a.doc_id = b.doc_id and b.seq >= a.seq and b.upto >= a.upto - a.n + 30 group by 1, 2
+      union
+      select a.doc_id, max(b.seq), a.seq from l a join l b
+      on a.doc_id = b.doc_id and b.seq <= a.seq and b.upto - b.n <= a.upto - 30 group by 1, a.seq),
+k as (select w.doc_id, w.seq, w.till, string_agg(l.line, chr(10) order by l.seq) as run
+      from w join l on l.doc_id = w.doc_id and l.seq between w.seq and w.till group by 1, 2, 3),
+f as (select *, row_number() over (partition by run order by doc_id, seq) as nth from k),
+c as (select distinct l.doc_id, l.i, l.seq from f join l
+      on l.doc_id = f.doc_id and l.seq between f.seq and f.till where nth > 1),
+s as (select doc_id, count(*) as n_deleted, string_agg(seq::varchar, ',' order by seq) as deleted
+      from c group by 1),
+t as (select r.doc_id, string_agg(r.x[r.i], chr(10) order by r.i) as text
+      from r anti join c on r.doc_id = c.doc_id and r.i = c.i group by 1),
+n as (select doc_id, count(*) as n_lines from l group by 1)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted,
+       coalesce(deleted, '') as deleted,
+       case when s.doc_id is null then d.text else coalesce(t.text, '') end as text
+from d left join n using (doc_id) left join s using (doc_id) left join t using (doc_id)
+"""
+
 OP7_WARC = """
 with p as (select page_id, coalesce(html, '') as payload from pages),
 d as (select page_id, octet_length(encode(payload)) as payload_bytes,

@@ -56,6 +56,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held.alias("held_out"), "score", "predicted", "windows")
 
 
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", F.size("deleted").alias("n_deleted"),
+        F.array_join("deleted", ",").alias("deleted"), "text")
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.language import language_id
