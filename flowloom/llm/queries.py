@@ -65,6 +65,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("deleted", ",").alias("deleted"), "text")
 
 
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "start", "hamming", F.round("similarity", 9).alias("similarity"))
+
+
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.language import language_id
