@@ -168,6 +168,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                   text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, without those that hold an item (see ``find_leaks``)."""
     leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = leaks.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    bad = materialize(leaks.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(),
+                      "leaks")
+    if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     same = c(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(c(text_col)) == F.col("_t"))
     return docs.join(bad, same, "left_anti")

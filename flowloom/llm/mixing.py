@@ -47,12 +47,12 @@ def source_targets(sizes: DataFrame, *, cycle: tuple[int, ...] = (1, 2, 3),
 def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                source_col: str = "source", odds_col: str | None = None,
                cycle: tuple[int, ...] = (1, 2, 3), most: int = 3,
-               slice_rows: int = 10_000) -> DataFrame:
+               slice_rows: int = 10_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Copies of every document in a mix whose sources have given shares.
 
     Returns one row per input row: doc_id, source, size (words; null text: 0), source_size, target,
     inclusion (probability of the copy beyond the certain ones), copies and taken (copies * size).
-    ``odds_col`` multiplies a document's inclusion odds (null or not positive: 1).  Null sources form
+    ``carry`` names small columns of ``docs`` that the result holds too.  ``odds_col`` multiplies a document's inclusion odds (null or not positive: 1).  Null sources form
     one source.  Documents of no words have the copies of their rank and take nothing.  Ties of the
     ranking number go by id, then size; equal rows are interchangeable.  Only ids, sizes and sources
     are shuffled, never texts.
@@ -62,7 +62,7 @@ def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     u = F.col("_u")
     rows = docs.select(c(id_col).alias("doc_id"), c(source_col).alias("source"),
                        F.size(words(c(text_col))).cast("bigint").alias("size"),
-                       odds.alias("_odds"), uniform(c(id_col)).alias("_u"))
+                       odds.alias("_odds"), uniform(c(id_col)).alias("_u"), *[c(x) for x in carry])
     rows = materialize(rows.withColumn("_q", u / (1 - u) / F.col("_odds"))
                        .withColumn("_row", F.monotonically_increasing_id()), "sizes")
     slices = max(16, rows.count() // slice_rows)
@@ -111,5 +111,5 @@ def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return out.select(
         "doc_id", "source", "size", "source_size", "target",
         F.coalesce(F.try_divide("_left", F.col("source_size").cast("double")), F.lit(0.0)).alias("inclusion"),
-        F.least(copies, F.lit(most)).cast("bigint").alias("copies"),
+        F.least(copies, F.lit(most)).cast("bigint").alias("copies"), *[c(x) for x in carry],
     ).withColumn("taken", F.col("copies") * F.col("size"))

@@ -270,21 +270,25 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-             label_col: str = "toxic", sample: int = 4_000, threshold: float = 0.3) -> DataFrame:
+             label_col: str = "toxic", label_id_col: str | None = None, score_id_col: str | None = None,
+             sample: int = 4_000, threshold: float = 0.3) -> DataFrame:
     """Score every row: doc_id, score, predicted, windows (how many were scored).
 
-    ``labels`` holds ids and labels (1 toxic, 0 clean) to learn from; ``sample`` bounds the rows that
+    ``labels`` holds ids (``label_id_col``, as ``id_col``) and labels (1 toxic, 0 clean) to learn from;
+    ``score_id_col`` names another column of ``docs``, of any type, that the result holds as doc_id; ``sample`` bounds the rows that
     are fitted, nothing else.  Rows with a null id or label teach nothing; of an id with several labels
     the largest counts.  ``score`` is the logistic function of the text's highest window logit, moved
     so that the best cut on the fitted rows lies at ``threshold``; ``predicted`` is 1 from there on.
     Null, empty and blank texts are scored as one window of padding.  Without both labels every score is
     0.  Every input row gives one row; repeated rows stay; other columns are ignored.
     """
+    labels = labels.select(c(label_id_col or id_col).alias(id_col), c(label_col))
     model = train(labelled_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col,
                                 sample=sample))
+    id_col = score_id_col or id_col
     sent = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary of at most ``sample`` texts
     base = float(np.log(threshold / (1 - threshold)))
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, score double, windows bigint"
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, windows bigint"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
