@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowloom.llm.common import BROADCAST_ROWS, c, words
+from flowloom.llm.common import BROADCAST_ROWS, c, fresh, words
 from flowloom.session import materialize
 
 SHINGLE = 5
@@ -168,9 +168,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                   text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, without those that hold an item (see ``find_leaks``)."""
     leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = materialize(leaks.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(),
-                      "leaks")
+    d, t = fresh(docs, "_d", "_t")
+    bad = materialize(leaks.select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct(), "leaks")
     if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    same = c(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(c(text_col)) == F.col("_t"))
+    same = c(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(c(text_col)) == F.col(t))
     return docs.join(bad, same, "left_anti")

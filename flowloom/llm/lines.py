@@ -118,14 +118,17 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     cut = (cut.select(*_DOC, F.explode(F.sequence("seq", F.col("seq") + F.col("size") - 1)).alias("_s"))
            .groupBy(F.col("_d").alias("_cd"), F.col("_h").alias("_ch"))
            .agg(F.sort_array(F.collect_set("_s")).alias("_cut")))
-    rows = _keyed(docs.drop("n_lines", "deleted"), id_col, text_col)
+    columns = [x for x in docs.columns if x not in ("n_lines", "deleted")]
+    rows = docs.select(F.struct(*[c(x) for x in columns]).alias("row"), c(id_col).alias("doc_id"),
+                       c(text_col).alias("text"))
+    rows = _keyed(rows, "doc_id", "text")
     rows = rows.join(cut, rows["_d"].eqNullSafe(cut["_cd"]) & (rows["_h"] == cut["_ch"]), "left")
     rows = rows.withColumn("_l", F.split("_t", "\n")).withColumn(
         "_nb", F.filter(F.transform("_l", lambda x, i: F.when(_with_word(x), i)), lambda i: i.isNotNull()))
     out = F.transform("_cut", lambda s: F.get("_nb", s))
     keep = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), out)
-    text = F.when(F.col("_cut").isNull(), c(text_col)).otherwise(
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(keep, lambda i: F.get("_l", i)), "\n"))
     none = F.array().cast("array<int>")
-    return (rows.withColumn("n_lines", F.size("_nb")).withColumn("deleted", F.coalesce("_cut", none))
-            .withColumn(text_col, text).drop("_d", "_h", "_t", "_cd", "_ch", "_cut", "_l", "_nb"))
+    return rows.select(*[(text if x == text_col else F.col("row").getField(x)).alias(x) for x in columns],
+                       F.size("_nb").alias("n_lines"), F.coalesce("_cut", none).alias("deleted"))
