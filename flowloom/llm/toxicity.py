@@ -30,12 +30,14 @@ def pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the pieces of all words, and where each word's begin.
 
     The pieces of a word are its byte n-grams of the two sizes of ``_SIZES``, a space before and after
-    it counted; a shorter word is one piece of either size.
+    it counted; a shorter word is one piece.
     """
     raw = [f" {w} ".encode("utf-8", "surrogatepass") for w in words]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    joined = np.frombuffer(b"".join(raw) + bytes(max(_SIZES)), np.uint8).astype(np.uint32)
-    n, first = int(sizes.sum()), np.cumsum(sizes) - sizes
+    joined = b"".join(w.ljust(max(_SIZES), b"\0") for w in raw)
+    n, room = len(joined), np.maximum(sizes, max(_SIZES))
+    first = np.cumsum(room) - room
+    joined = np.frombuffer(joined + bytes(max(_SIZES)), np.uint8).astype(np.uint32)
     counts = [np.maximum(1, sizes - k + 1) for k in _SIZES]
     starts = np.cumsum(counts[0] + counts[1]) - counts[0] - counts[1]
     out = np.empty(int((counts[0] + counts[1]).sum()), np.int64)
@@ -107,10 +109,12 @@ def _seen(texts: list[list[str]], labels: np.ndarray) -> tuple[list[Counter], np
     return words, grams
 
 
-def train(rows: list[tuple[str, int]], *, hidden: int = 8, epochs: int = 3, batch: int = 40,
+def train(rows: list[tuple[str, int]], *, hidden: int = 8, steps: int = 300, batch: int = 40,
           rate: float = 0.01, folds: int = 4, seed: int = 7) -> Model | None:
     """Fit on (text, label) rows; None unless both labels occur.  Repeats itself on the same rows.
 
+    Rows are shown in whole rounds until at least ``steps`` batches were seen.
+
     While the network is trained, a text's evidence comes from the other folds of the rows only, so
     that words of a single text do not give its label away; afterwards it comes from all rows.
     """
@@ -158,7 +162,7 @@ def train(rows: list[tuple[str, int]], *, hidden: int = 8, epochs: int = 3, batc
     vectors = np.concatenate(blocks)
     coded = [np.array([number[f][w] for w in t], np.int64) for t, f in zip(texts, fold)]
     weight = np.where(labels == 1, 0.5 / toxic, 0.5 / clean) * len(rows)
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // len(rows))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             of = order[lo:lo + batch]
