@@ -90,12 +90,13 @@ def repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         frame = chain.rowsBetween(0, most)
         at = rows.withColumn("_names", F.collect_list(F.struct(F.col(f"n{k}").alias("x"))).over(frame)) \
             if k else rows.withColumn("_names", F.array(F.struct(F.col("n0").alias("x"))))
-        starts = at.select(*_DOC, "seq", "_chain", F.col(f"n{k}").alias("_p"), "_names")
+        starts = at.select(F.col("_d").alias("_sd"), F.col("_h").alias("_sh"), F.col("seq").alias("_ss"),
+                           F.col(f"n{k}").alias("_p"), "_names")
         forward = rows.select(*_DOC, "seq", (F.col("_to") - F.col("seq") + 1).alias("size"))
         backward = rows.select(*_DOC, F.col("_since").alias("seq"),
                                (F.col("seq") - F.col("_since") + 1).alias("size"))
         sized = (forward.unionByName(backward).where(F.col("size").between(least, most)).distinct()
-                 .join(starts, [*_DOC, "seq"]))
+                 .join(starts, F.col("_d").eqNullSafe(F.col("_sd")) & F.expr("_h = _sh and seq = _ss")))
         sized = sized.withColumn("_q", F.get("_names", F.col("size") - least)["x"])
         named = _names(sized.select(*_DOC, "seq", "size", "_p", "_q"), ["size", "_p", "_q"], "_one", place)
         later = named.where(F.col("_one") != place).select(*_DOC, "seq", "size")
