@@ -1,7 +1,8 @@
 """Detectors, evaluation protocols, tuning, whole plans and streams.
 
-The registered runs use few trials, iterations and trees; every one fits on and scores whole
-tables, so its work grows with them.
+The registered protocol and search runs use few trials, iterations and trees.  Forest, envelope and
+one-class SVM fit on all benign training rows; the local outlier factor keeps a seeded sample of them as
+its reference.  Scoring covers whole tables.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from flowloom.streaming import flows as R
 from flowloom.streaming.replay import replay
 
 FEATURES = ["src_ip_bytes", "dst_ip_bytes", "src_pkts", "dst_pkts", "dur"]
-_N = 2000  # benign rows the quadratic detectors train on, as their protocol prescribes
+_N = 2000  # benign rows of the sampled protocols, and of the local outlier factor's reference
 
 _SUP = {"Random Forest": lambda f, s: D.RandomForest(f, n_estimators=20, max_depth=8, seed=s),
         "Decision Tree": lambda f, s: D.DecisionTree(f, max_depth=8, seed=s),
@@ -54,11 +55,12 @@ def _fit_supervised(spark, sf, name):
     return model.predict(split.where("split = 'test'")).select("row_id", S.TARGET, "guess", "score")
 
 
-def _fit_unsupervised(spark, sf, name):
+def _fit_unsupervised(spark, sf, name, rows=None):
+    """Fit on all benign training rows, or on a seeded sample of ``rows`` of them."""
     from flowloom.operators.sampling import subsample_rows
 
     benign, _, test = _parts(spark, sf)
-    model = _UNS[name](FEATURES, 42).fit(subsample_rows(benign, _N, 42))
+    model = _UNS[name](FEATURES, 42).fit(benign if rows is None else subsample_rows(benign, rows, 42))
     return model.predict(test).select("row_id", S.TARGET, "guess", "score")
 
 
@@ -122,7 +124,7 @@ def elliptic_envelope(spark, sf):
 
 @query("local_outlier_factor_predict")
 def local_outlier_factor_predict(spark, sf):
-    return _fit_unsupervised(spark, sf, "Local Outlier Factor")
+    return _fit_unsupervised(spark, sf, "Local Outlier Factor", _N)
 
 
 # every row of the embedding table against all others, k = 10

@@ -264,19 +264,19 @@ def metric_sem_table(spark, sf):
     return _r(R.metric_sem(B.metrics_long(spark, sf)), 6)
 
 
-@query("clip_error", "select dataset, model, metric, round(least(std / sqrt(n), 1 - mean), 6) as error from summary "
-       "where metric in ('accuracy', 'precision', 'recall')", ("summary",))
+@query("clip_error", "select dataset, model, metric, round(least(std / sqrt(n), 1 - mean), 6) as error "
+       "from summary", ("summary",))
 def clip_error(spark, sf):
-    rows = _summary(spark, sf).where(F.col("metric").isin("accuracy", "precision", "recall"))
+    rows = _summary(spark, sf)
     err = R.clip_error(F.col("mean"), F.col("std") / F.sqrt("n"))
     return rows.select("dataset", "model", "metric", F.round(err, 6).alias("error"))
 
 
-@query("fold_means", "select model, metric, round(avg(value), 6) as mean from metrics_long where iteration <= 10 "
-       "and dataset = 'D0' group by model, metric", ("metrics_long",))
+@query("fold_means", "select dataset, model, metric, round(avg(value), 6) as mean from metrics_long "
+       "group by dataset, model, metric", ("metrics_long",))
 def fold_means(spark, sf):
-    rows = B.metrics_long(spark, sf).where("iteration <= 10 and dataset = 'D0'")
-    return rows.groupBy("model", "metric").agg(F.round(F.avg("value"), 6).alias("mean"))
+    rows = B.metrics_long(spark, sf)
+    return rows.groupBy("dataset", "model", "metric").agg(F.round(F.avg("value"), 6).alias("mean"))
 
 
 _Q = ["low", "q1", "median", "q3", "high"]
@@ -339,12 +339,11 @@ def stability(spark, sf):
     return rows.select("dataset", "model", F.round("std", 6).alias("mcc_std"))
 
 
-@query("melt_compare", "select model, metric, iteration, 'x' as origin, x as value from pairs "
-       "where comparison = 'D0 vs D1' union all select model, metric, iteration, 'y', y from pairs "
-       "where comparison = 'D0 vs D1'", ("pairs",))
+@query("melt_compare", "select comparison, model, metric, iteration, 'x' as origin, x as value from pairs "
+       "union all select comparison, model, metric, iteration, 'y', y from pairs", ("pairs",))
 def melt_compare(spark, sf):
-    rows = T.pair(B.metrics_long(spark, sf), _PAIRS[:1])
-    return rows.unpivot(["model", "metric", "iteration"], ["x", "y"], "origin", "value")
+    rows = T.pair(B.metrics_long(spark, sf), _PAIRS)
+    return rows.unpivot(["comparison", "model", "metric", "iteration"], ["x", "y"], "origin", "value")
 
 
 @query("metric_by_model", "select model, " + ", ".join(

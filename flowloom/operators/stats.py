@@ -25,8 +25,16 @@ def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DoubleType())
-def _shapiro_p(values: pd.Series) -> pd.Series:
-    return values.map(tails.shapiro_p)
+def _score(p: pd.Series) -> pd.Series:
+    return p.map(tails.normal_quantile)
+
+
+@F.pandas_udf(DoubleType())
+def _shapiro_p(n: pd.Series, s: pd.Series, inner: pd.Series, spread: pd.Series, low: pd.Series,
+               high: pd.Series) -> pd.Series:
+    return pd.Series([
+        tails.shapiro_tail(tails.shapiro_w(int(k), a, b, c, sorted(lo), sorted(hi, reverse=True)), int(k))
+        if k >= 3 and c > 0 else math.nan for k, a, b, c, lo, hi in zip(n, s, inner, spread, low, high)])
 
 
 def pair(table: DataFrame, comparisons: list[tuple[str, str]]) -> DataFrame:
@@ -74,18 +82,25 @@ def paired_t(pairs: DataFrame) -> DataFrame:
 
 
 def shapiro(pairs: DataFrame) -> DataFrame:
-    """Normality of the paired differences; 1 when all are equal.
+    """Normality of the paired differences; 1 when all are equal, missing for fewer than three.
 
-    The test is defined up to 5000 values; a longer group gets a missing p-value and is never
-    gathered.
+    A value's weight follows from its rank and the group's size, so the statistic is a few sums over
+    ranked rows and holds for groups of any size; a group is one row per iteration.
     """
-    ends = pairs.groupBy(*GROUP).agg(F.count("diff").alias("_n"), F.min("diff").alias("_lo"),
-                                     F.max("diff").alias("_hi"))
-    short = pairs.join(ends.where("_n <= 5000").select(*GROUP), GROUP, "left_semi")
-    lists = short.groupBy(*GROUP).agg(F.collect_list("diff").alias("_v"))
-    out = ends.join(lists, GROUP, "left").withColumn("_v", F.coalesce("_v", F.array().cast(
-        "array<double>")))
-    p = F.when(F.col("_lo") == F.col("_hi"), 1.0).otherwise(_shapiro_p("_v"))
+    whole = Window.partitionBy(*GROUP)
+    rows = pairs.where("diff is not null").withColumn("_n", F.count(F.lit(1)).over(whole))
+    rows = rows.withColumn("_i", F.row_number().over(whole.orderBy("diff")))
+    rows = rows.withColumn("_d", F.col("diff") - F.avg("diff").over(whole))
+    rows = rows.withColumn("_m", _score((F.col("_i") - 0.375) / (F.col("_n") + 0.25)))
+    ends = rows.groupBy(*GROUP).agg(
+        F.max("_n").alias("_n"), F.min("diff").alias("_lo"), F.max("diff").alias("_hi"),
+        F.sum(F.col("_m") * F.col("_m")).alias("_s"), F.sum(F.col("_m") * F.col("diff")).alias("_in"),
+        F.sum(F.col("_d") * F.col("_d")).alias("_sq"),
+        F.collect_list(F.when(F.col("_i") <= 2, F.col("diff"))).alias("_low"),
+        F.collect_list(F.when(F.col("_i") > F.col("_n") - 2, F.col("diff"))).alias("_high"))
+    out = pairs.select(*GROUP).distinct().join(ends, GROUP, "left")
+    p = F.when(F.col("_lo") == F.col("_hi"), 1.0).when(
+        F.col("_n") >= 3, _shapiro_p("_n", "_s", "_in", "_sq", "_low", "_high"))
     return out.select(*GROUP, F.when(~F.isnan(p), p).alias("shapiro_p"))
 
 
