@@ -193,11 +193,11 @@ def union_files(spark, sf):
 
 
 @query("union_align", "select row_id, label, src_pkts, case when label = 'normal' then dst_pkts else 0 "
-       "end as dst_pkts from base where label in ('normal', 'ddos')", ("base",))
+       "end as dst_pkts from base", ("base",))
 def union_align(spark, sf):
     base = B.base(spark, sf)
     first = base.where("label = 'normal'").select("row_id", "label", "src_pkts", "dst_pkts")
-    other = base.where("label = 'ddos'").select("row_id", "label", "src_pkts", "stime")
+    other = base.where("label <> 'normal'").select("row_id", "label", "src_pkts", "stime")
     return E.union_aligned(first, other)
 
 

@@ -39,8 +39,7 @@ def scan_flows(spark, sf):
 def scan_folder(spark, sf):
     path = shared_path(spark, "folder")
     I.write_stage(_with_ids(B.base(spark, sf)), path, fmt="csv")
-    df = (spark.read.schema(_FILE_SCHEMA).option("header", True)
-          .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(path))
+    df = I.read_folder(spark, path, ".csv", _FILE_SCHEMA).drop("source_file")
     return (df.groupBy(I.leaf_folder().alias("source_file"))
             .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("dst_ip_bytes").alias("dst_bytes")))
 

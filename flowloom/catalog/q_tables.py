@@ -221,9 +221,9 @@ def improvement(spark, sf):
     return _pct(R.against_baseline(rows, B.BASELINE))
 
 
-@query("time_change", _change("pct", "lower", "where a.metric = 'train_time'"), ("summary",))
+@query("time_change", _change("pct", "lower", "where a.metric in ('train_time', 'predict_time')"), ("summary",))
 def time_change(spark, sf):
-    rows = _summary(spark, sf).where(F.col("metric") == "train_time")
+    rows = _summary(spark, sf).where(F.col("metric").isin("train_time", "predict_time"))
     return _pct(R.against_baseline(rows, B.BASELINE, lower_is_better=True))
 
 

@@ -10,12 +10,13 @@ every key family, whatever its skew.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.session import default_slices, quoted
+from flowloom.session import default_slices, materialize, quoted
 
 SLICE = "_slice"
 _FIRST = Window.unboundedPreceding
@@ -127,6 +128,33 @@ def hash_rank(df: DataFrame, classes: list[str], key: Column, tie: str, out: str
     return ranked.select(*quoted(cols), out, *([total] if total else []))
 
 
+def key_cuts(df: DataFrame, classes: list[str], key: Column, tie: str, ranks: Callable[[DataFrame], DataFrame],
+             names: list[str]) -> DataFrame:
+    """Per class, the (key, tie) of the rows with given ranks in the order of a seeded md5 key.
+
+    ``ranks`` turns class sizes (classes, ``_n``) into wanted ranks, one column per name; a rank of 0
+    has no row and gives null.  Only counts per (class, slice) and the rows of the slices that hold a
+    wanted rank move; everything else about a row then follows from comparing its key with the cut.
+    """
+    slices = default_slices(df.sparkSession)
+    keyed = df.select(*classes, F.col(tie).alias("_tie"), key.alias("_key"))
+    keyed = keyed.withColumn(SLICE, hash_slice(F.col("_key"), slices))
+    counts = materialize(keyed.groupBy(SLICE, *classes).agg(F.count(F.lit(1)).alias("_rows")), "counts")
+    wanted = ranks(counts.groupBy(*classes).agg(F.sum("_rows").alias("_n")))
+    before = sums_before(counts.withColumn("_before", F.col("_rows")), classes, ["_before"])
+    each = wanted.select(*classes, F.inline(F.array(*[F.struct(
+        F.lit(n).alias("_name"), F.col(n).cast("bigint").alias("_rank")) for n in names])))
+    hit = materialize(before.join(each, classes).where("_rank > _before and _rank <= _before + _rows")
+                      .select(SLICE, *classes, "_name", (F.col("_rank") - F.col("_before")).alias("_at")), "cuts")
+    slots = hit.select(SLICE, *classes).distinct()
+    local = Window.partitionBy(SLICE, *classes).orderBy("_key", "_tie")
+    inside = keyed.join(slots, [SLICE, *classes]).withColumn("_rn", F.row_number().over(local))
+    found = inside.join(hit, [SLICE, *classes]).where("_rn = _at")
+    cut = found.groupBy(*classes).agg(*[F.max(F.when(
+        F.col("_name") == n, F.struct("_key", "_tie"))).alias(n) for n in names])
+    return materialize(cut, "key-cuts")
+
+
 def _overall_before(counts: DataFrame) -> DataFrame:
     one = counts.withColumn("_all", F.lit(1))  # one row per slice
     return sums_before(one, ["_all"], ["_before"]).drop("_all")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.normalize import seeded_key
-from flowloom.operators.prefix import hash_rank
+from flowloom.operators.prefix import hash_rank, key_cuts
 from flowloom.session import quoted
 
 
@@ -29,17 +29,24 @@ def supervised_split(df: DataFrame, seed: int = 42, target: str = "category",
     """Add ``split`` (train / test), stratified; the test side has ``ceil(share * n)`` rows."""
     scope = list(scope)
     key = seeded_key(seed, F.col(row_id)) if key is None else key
-    ranked = hash_rank(df, [*scope, target], key, row_id)
-    counts = df.groupBy(*scope, target).agg(F.count(F.lit(1)).alias("_n"))
-    quota = _test_quota(counts, scope, target, share)
-    side = F.when(F.col("rn") <= F.col("_quota"), "test").otherwise("train")
-    return (ranked.join(quota, [*scope, target]).withColumn("split", side)
+    cuts = key_cuts(df, [*scope, target], key, row_id, lambda counts: _test_quota(
+        counts, scope, target, share), ["_quota"])
+    side = F.when(_up_to(key, row_id, "_quota"), "test").otherwise("train")
+    return (df.join(cuts, [*scope, target], "left").withColumn("split", side)
             .select(*quoted(df.columns), "split"))
 
 
+def _up_to(key: Column, row_id: str, cut: str) -> Column:
+    """Whether a row comes no later than the cut in the order of the key; never where there is no cut."""
+    return F.coalesce(F.struct(key.alias("_key"), F.col(row_id).alias("_tie")) <= F.col(cut), F.lit(False))
+
+
 def mccv_splits(df: DataFrame, k: int, seed: int = 42, target: str = "category",
                 row_id: str = "row_id", share: float = 0.2) -> DataFrame:
-    """K fresh stratified splits in one plan: each row once per iteration 1..K."""
+    """K fresh stratified splits in one plan: each row once per iteration 1..K.
+
+    The copies are made in the scan and only compared with the cuts; they are never shuffled.
+    """
     rows = df.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(k))))
     key = seeded_key(F.lit(seed) + F.col("iteration") - 1, F.col(row_id))
     return supervised_split(rows, seed, target, row_id, share, ("iteration",), key)
@@ -48,15 +55,20 @@ def mccv_splits(df: DataFrame, k: int, seed: int = 42, target: str = "category",
 def unsupervised_split(df: DataFrame, seed: int = 42, target: str = "category",
                        row_id: str = "row_id") -> DataFrame:
     """Benign 60/20/20 into train / valid / test, attack 20 % valid and 20 % test, disjoint."""
-    ranked = hash_rank(df, [target], seeded_key(seed, F.col(row_id)), row_id, total="_n")
-    n, rn = F.col("_n"), F.col("rn")
-    held = F.ceil(F.lit(0.4) * n)                # benign rows kept out of training
-    pool = n - F.ceil(F.lit(0.6) * n)            # attack rows used at all
-    used = F.when(F.col(target) == 0, held).otherwise(pool)
-    test = F.ceil(F.lit(0.5) * used)
+    key = seeded_key(seed, F.col(row_id))
+
+    def ranks(counts: DataFrame) -> DataFrame:
+        n = F.col("_n")
+        held = F.ceil(F.lit(0.4) * n)                # benign rows kept out of training
+        pool = n - F.ceil(F.lit(0.6) * n)            # attack rows used at all
+        used = F.when(F.col(target) == 0, held).otherwise(pool)
+        return counts.select(target, used.alias("_used"), F.ceil(F.lit(0.5) * used).alias("_test"))
+
+    cuts = key_cuts(df, [target], key, row_id, ranks, ["_used", "_test"])
     rest = F.when(F.col(target) == 0, "train").otherwise("unused")
-    side = F.when(rn <= test, "test").when(rn <= used, "valid").otherwise(rest)
-    return ranked.withColumn("split", side).select(*quoted(df.columns), "split")
+    side = (F.when(_up_to(key, row_id, "_test"), "test").when(_up_to(key, row_id, "_used"), "valid")
+            .otherwise(rest))
+    return df.join(cuts, target, "left").withColumn("split", side).select(*quoted(df.columns), "split")
 
 
 def unsupervised_split_overlap(df: DataFrame, seed: int = 42, target: str = "category",

@@ -44,8 +44,14 @@ def label_from_path(df: DataFrame, mapping: dict[str, str], out: str = "label")
 
 
 def write_stage(df: DataFrame, path: str, by: str = "source_file", fmt: str = "parquet",
-                mode: str = "error") -> None:
-    """One output folder per input file.  Rows are spread first, so a big file has many writers."""
+                mode: str = "error", writers: int = 8) -> None:
+    """One output folder per input file.
+
+    Rows are dealt over (file, salt) first: a file has up to ``writers`` writers, however large it is, and
+    a task writes few files.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(writers))
+    df = df.repartition(F.col(f"`{by}`"), salt)
     writer = df.write.mode(mode).partitionBy(by)
     if fmt == "csv":
         writer = writer.option("header", True)
