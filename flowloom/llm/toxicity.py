@@ -8,7 +8,6 @@ trained in numpy on a bounded sample of labelled documents; Spark tasks score al
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -72,6 +71,19 @@ def windows(numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner, np.where(inside, numbers[flat] if len(numbers) else 0, 0)
 
 
+class Numbers(dict):
+    """Word to row number; new words get the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        self.new.append(word)
+        return n
+
+
 class Model:
     """Vectors of words and pieces, and the network."""
 
@@ -98,17 +110,6 @@ def _evidence(with_toxic: np.ndarray, with_clean: np.ndarray, toxic: int, clean:
     return (odds * seen / (seen + 4)).astype(np.float32)
 
 
-def _seen(texts: list[list[str]], labels: np.ndarray) -> tuple[list[Counter], np.ndarray]:
-    """Documents of either label that hold each word, and each bucket of pieces."""
-    words, grams = [Counter(), Counter()], np.zeros((2, (1 << _BITS)))
-    for t, y in zip(texts, labels.astype(int)):
-        bare = {w.strip(_EDGES) for w in t}
-        words[y].update(bare)
-        if bare:
-            grams[y, np.unique(pieces(list(bare))[0])] += 1
-    return words, grams
-
-
 def train(rows: list[tuple[str, int]], *, hidden: int = 8, steps: int = 300, batch: int = 40,
           rate: float = 0.01, folds: int = 4, seed: int = 7) -> Model | None:
     """Fit on (text, label) rows; None unless both labels occur.  Repeats itself on the same rows.
@@ -123,44 +124,50 @@ def train(rows: list[tuple[str, int]], *, hidden: int = 8, steps: int = 300, bat
     if not toxic or not clean:
         return None
     rng = np.random.default_rng(seed)
-    texts = [tokens(t) for t, _ in rows]
+    number = Numbers()
+    coded = [np.fromiter((number[w] for w in tokens(t)), np.int32) - 1 for t, _ in rows]
     # labels are dealt over folds one by one, so that each fold has its share of either
     fold = np.empty(len(rows), np.int64)
     for y in (0, 1):
         of = np.flatnonzero(labels == y)
         fold[of] = np.arange(len(of)) % folds
-    parts = [_seen([t for t, f in zip(texts, fold) if f == k], labels[fold == k]) for k in range(folds)]
-    words = [sum((p[0][y] for p in parts), Counter()) for y in (0, 1)]
-    grams = sum(p[1] for p in parts)
-    known = sorted(w for w in words[0].keys() | words[1].keys() if words[0][w] + words[1][w] >= 3)
-    index = {w: i + 1 for i, w in enumerate(known)}
-    learned_w = rng.normal(0, 0.05, (len(known) + 1, _PARTS)).astype(np.float32)
-    learned_g = rng.normal(0, 0.05, ((1 << _BITS), _PARTS)).astype(np.float32)
+
+    # texts of either label in each fold that hold a word, stripped of punctuation, or a bucket of pieces
+    bare_of = Numbers()
+    bare = np.array([bare_of[w.strip(_EDGES)] for w in number], np.int64) - 1
+    held, starts = pieces(list(bare_of)) if bare_of else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ends = np.append(starts[1:], len(held))
+    words, grams = np.zeros((folds, 2, len(bare_of))), np.zeros((folds, 2, 1 << _BITS))
+    for t, f, y in zip(coded, fold, labels.astype(int)):
+        if len(t):
+            own = np.unique(bare[t])
+            words[f, y, own] += 1
+            grams[f, y, np.unique(np.concatenate([held[starts[w]:ends[w]] for w in own]))] += 1
+    names = list(bare_of)
+    often = np.flatnonzero(words.sum((0, 1)) >= 3)
+    often = often[np.argsort(np.array([names[i] for i in often], object), kind="stable")]
+    index = {names[i]: k + 1 for k, i in enumerate(often)}
+    learned_w = rng.normal(0, 0.05, (len(index) + 1, _PARTS)).astype(np.float32)
+    learned_g = rng.normal(0, 0.05, (1 << _BITS, _PARTS)).astype(np.float32)
     network = Network(2 * _PARTS + 1, hidden, rng)
 
     def model_of(without: int | None) -> Model:
-        less = parts[without] if without is not None else ([Counter(), Counter()], np.zeros((2, (1 << _BITS))))
-        n = [clean, toxic]
-        if without is not None:
-            n = [int(((labels == y) & (fold != without)).sum()) for y in (0, 1)]
+        use = [k for k in range(folds) if k != without]
+        n = [int(((labels == y) & np.isin(fold, use)).sum()) for y in (0, 1)]
         w, g = learned_w.copy(), learned_g.copy()
         w[0] = 0
-        have = [np.array([words[y][x] - less[0][y][x] for x in known], float) for y in (0, 1)]
-        w[1:, 0] = _evidence(have[1], have[0], n[1], n[0])
-        g[:, 0] = _evidence(grams[1] - less[1][1], grams[0] - less[1][0], n[1], n[0])
+        clean_w, toxic_w = words[use].sum(0)[:, often]
+        w[1:, 0] = _evidence(toxic_w, clean_w, n[1], n[0])
+        clean_g, toxic_g = grams[use].sum(0)
+        g[:, 0] = _evidence(toxic_g, clean_g, n[1], n[0])
         return Model(index, w, g, network)
 
-    adam = Adam(rate)
-    number: list[dict[str, int]] = [{} for _ in range(folds)]
-    blocks, total = [np.zeros((1, 2 * _PARTS + 1), np.float32)], 1
-    for k in range(folds):
-        vocabulary = sorted({w for t, f in zip(texts, fold) if f == k for w in t})
-        number[k] = {w: total + i for i, w in enumerate(vocabulary)}
-        total += len(vocabulary)
-        if vocabulary:
-            blocks.append(model_of(k).vectors(vocabulary))
+    adam, vocabulary = Adam(rate), list(number)
+    blocks = [np.zeros((1, 2 * _PARTS + 1), np.float32)]
+    if vocabulary:
+        blocks += [model_of(k).vectors(vocabulary) for k in range(folds)]
     vectors = np.concatenate(blocks)
-    coded = [np.array([number[f][w] for w in t], np.int64) for t, f in zip(texts, fold)]
+    coded = [t.astype(np.int64) + 1 + f * len(vocabulary) for t, f in zip(coded, fold)]
     weight = np.where(labels == 1, 0.5 / toxic, 0.5 / clean) * len(rows)
     for _ in range(-(-steps * batch // len(rows))):
         order = rng.permutation(len(rows))
@@ -190,12 +197,19 @@ def train(rows: list[tuple[str, int]], *, hidden: int = 8, steps: int = 300, bat
                 sums[0] = 0
                 g["W" + d], g["c" + d] = x.T @ sums, sums.sum(0)
             adam.step(network.p, g)
-    held = np.empty(len(rows))
-    for k in range(folds):
-        of = np.flatnonzero(fold == k)
-        held[of] = score(model_of(k), [rows[i][0] for i in of])[0]
+
+    scores = np.empty(len(rows))
+    for lo in range(0, len(rows), 200):
+        owner, ids = windows(np.concatenate(coded[lo:lo + 200]), np.array([len(t) for t in coded[lo:lo + 200]]))
+        used, ids = np.unique(np.concatenate((ids.ravel(), [0])), return_inverse=True)
+        ids = ids[:-1].reshape(len(owner), WINDOW)
+        logit = np.concatenate([network.run(network.project(vectors[used]), ids[k:k + 2048])[0]
+                                for k in range(0, len(ids), 2048)])
+        best = np.full(len(coded[lo:lo + 200]), -np.inf)
+        np.maximum.at(best, owner, logit)
+        scores[lo:lo + 200] = best
     model = model_of(None)
-    model.shift = _best_cut(held, labels)
+    model.shift = _best_cut(scores, labels)
     return model
 
 
@@ -208,19 +222,6 @@ def _best_cut(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2)
 
 
-class Numbers(dict):
-    """Word to row number; new words get the next one."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self) + 1
-        self.new.append(word)
-        return n
-
-
 class Scorer:
     """Keeps the gate inputs of words between batches, of at most ``most`` words."""
 
