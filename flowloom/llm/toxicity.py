@@ -8,6 +8,7 @@ trained in numpy on a bounded sample of labelled documents; Spark tasks score al
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -263,15 +264,26 @@ def score(model: Model, texts: list, scorer: Scorer | None = None) -> tuple[np.n
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str,
-                  sample: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``sample`` labelled ids, those of the smallest id hashes."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str,
+        sample: int) -> bytes | None:
+    """The pickled model of at most ``sample`` labelled ids, those of the smallest id hashes.
+
+    The sampled texts go to one task that trains, so the driver holds ids and the finished model only.
+    """
     few = (labels.select(c(id_col).alias("_id"), c(label_col).cast("int").alias("_y"))
            .where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
            .orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = (docs.select(c(id_col).alias("_id"), c(text_col).alias("_t"))
-            .join(F.broadcast(few), "_id").collect())  # ``sample`` bounds both
-    return [(r["_t"] or "", r["_y"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_t"] or ""))]
+    rows = (docs.select(c(id_col).alias("_id"), F.coalesce(c(text_col).cast("string"), F.lit("")).alias("_t"))
+            .join(F.broadcast(few), "_id").select("_id", "_t", "_y"))  # ``sample`` bounds the broadcast
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(x for b in batches for x in zip(*(k.to_pylist() for k in b.columns)))
+        if found:
+            model = train([(t, y) for _, t, y in found])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return bytes(got[0]["model"]) if got else None
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -288,15 +300,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     0.  Every input row gives one row; repeated rows stay; other columns are ignored.
     """
     labels = labels.select(c(label_id_col or id_col).alias(id_col), c(label_col))
-    model = train(labelled_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col,
-                                sample=sample))
+    model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
     id_col = score_id_col or id_col
     sent = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary of at most ``sample`` texts
     base = float(np.log(threshold / (1 - threshold)))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, windows bigint"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = pickle.loads(sent.value) if sent.value else None
         scorer = Scorer(model) if model else None
         for b in batches:
             texts = b.column(1).to_pylist()
