@@ -115,7 +115,7 @@ def train(rows: list[tuple[str, int]], *, hidden: int = 8, steps: int = 300, bat
           rate: float = 0.01, folds: int = 4, seed: int = 7) -> Model | None:
     """Fit on (text, label) rows; None unless both labels occur.  Repeats itself on the same rows.
 
-    Rows are shown in whole rounds until at least ``steps`` batches were seen.
+    Rows are shown in whole rounds until ``steps`` batches or 60 rounds were seen.
 
     While the network is trained, a text's evidence comes from the other folds of the rows only, so
     that words of a single text do not give its label away; afterwards it comes from all rows.
@@ -170,7 +170,7 @@ def train(rows: list[tuple[str, int]], *, hidden: int = 8, steps: int = 300, bat
     vectors = np.concatenate(blocks)
     coded = [t.astype(np.int64) + 1 + f * len(vocabulary) for t, f in zip(coded, fold)]
     weight = np.where(labels == 1, 0.5 / toxic, 0.5 / clean) * len(rows)
-    for _ in range(-(-steps * batch // len(rows))):
+    for _ in range(min(60, -(-steps // -(-len(rows) // batch)))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             of = order[lo:lo + batch]
