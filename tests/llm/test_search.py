@@ -226,3 +226,21 @@ def test_archives_are_plain_zstandard(spark, tmp_path):
                     for f in files)
     assert data.count(b"WARC/1.1\r\n") == 50
     assert files[0].read_bytes()[-4:] == SEEKABLE.to_bytes(4, "little")
+
+
+def test_jaccard_region_of_a_large_and_a_small_family(spark):
+    """The small family's links survive when the large family's cells do not shrink."""
+    import numpy as np
+
+    from flowloom.llm.jaccard import join_regions
+
+    def member(i, base, twin):  # 80 shared, 20 of the pair; twins differ in two
+        own = [10_000 + 100 * twin + j for j in range(18)] + [1_000_000 + 2 * i, 1_000_001 + 2 * i]
+        return np.sort(np.array(list(range(base, base + 80)) + own, np.uint64)).tobytes()
+
+    rows = [(b"r", b"a%03d" % i, member(i, 0, 500 + i)) for i in range(85)]
+    rows += [(b"r", b"b%03d" % i, member(85 + i, 1_000, i // 2)) for i in range(15)]
+    members = spark.createDataFrame([tuple(map(bytearray, r)) for r in rows],
+                                    "region binary, key binary, set binary")
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in join_regions(members, 75, small=40, block=20).collect()}
+    assert got == {frozenset((b"b%03d" % i, b"b%03d" % (i + 1))) for i in range(0, 14, 2)}
