@@ -234,9 +234,42 @@ def no_mi(spark, sf):
     return table.select("row_id", "category", *[F.round(c, 4).alias(c) for c in numeric])
 
 
-@query("mi_knn")
+def _digamma_sql(n: str) -> str:
+    x = f"({n} + 6.0e0)"
+    steps = " + ".join(f"1.0e0 / ({n} + {i})" for i in range(6))
+    return (f"(ln({x}) - 0.5e0 / {x} - 1 / ({x} * {x}) * (1 / 12.0e0 - 1 / ({x} * {x}) * (1 / 120.0e0 "
+            f"- 1 / ({x} * {x}) * (1 / 252.0e0 - 1 / ({x} * {x}) / 240.0e0))) - ({steps}))")
+
+
+def _gaps_sql(k: int) -> str:
+    return ", ".join(f"{{'d': {s} * ({f}(x, {j}) over w - x), 'e': {s} * ({f}(u, {j}) over w - u), 's': {s}, "
+                     f"'x': {f}(x, {j}) over w, 'u': {f}(u, {j}) over w}}"
+                     for j in range(1, k + 1) for f, s in (("lag", -1), ("lead", 1)))
+
+
+# every row against all rows of its feature
+@query("mi_knn", f"""with l as (select row_id, category, feature, value + 0.0e0 as x,
+    ('0x' || substr(md5(row_id || ':' || feature || ':42'), 1, 12))::bigint as u
+    from (select row_id, category, {', '.join(_F)} from model_table) unpivot (value for feature in ({', '.join(_F)}))),
+  g as (select *, count(*) over (partition by feature, category) as n_c, [{_gaps_sql(3)}] as near from l
+    window w as (partition by feature, category order by x, u, row_id)),
+  c as (select *, unnest(near) as nb from g where n_c > 1),
+  k as (select * from (select *, row_number() over (partition by feature, row_id order by nb.d, nb.e, nb.s) as nth
+    from c where nb.x is not null) where nth = least(3, n_c - 1)),
+  i as (select *, 2 * x - nb.x as image, 2 * x - nb.x - 2 * x as part from k),
+  e as (select *, (2 * x - (image - part)) + (-nb.x - part) as rest, 2 * u - nb.u as other from i),
+  b as (select feature, row_id, x, u, n_c, nth, case when nb.s < 0 then nb.x else image end as lx,
+    case when nb.s < 0 then 0 else rest end as lr, case when nb.s < 0 then nb.u else other end as lu,
+    case when nb.s < 0 then image else nb.x end as hx, case when nb.s < 0 then rest else 0 end as hr,
+    case when nb.s < 0 then other else nb.u end as hu from e),
+  m as (select b.feature, b.row_id, any_value(b.n_c) as n_c, any_value(b.nth) as k, count(*) as m
+    from b join b p on p.feature = b.feature and p.x >= b.lx and p.x <= b.hx
+      and (p.x > b.lx or b.lr < 0 or (b.lr = 0 and p.u > b.lu))
+      and (p.x < b.hx or b.hr > 0 or (b.hr = 0 and p.u < b.hu)) group by b.feature, b.row_id)
+  select feature, round(greatest(0, {_digamma_sql('count(*)')} + avg({_digamma_sql('k')} - {_digamma_sql('n_c')}
+    - {_digamma_sql('m')})), 6) as mi from m group by feature""", ("model_table",))
 def mi_knn(spark, sf):
-    return X.mi_knn(B.model_table(spark, sf), _F)
+    return X.mi_knn(B.model_table(spark, sf), _F).withColumn("mi", F.round("mi", 6))
 
 
 @query("leak_screen", f"""with l as (select * from (select category, {', '.join(_F)} from model_table)

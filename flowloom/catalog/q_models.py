@@ -55,12 +55,10 @@ def _fit_supervised(spark, sf, name):
     return model.predict(split.where("split = 'test'")).select("row_id", S.TARGET, "guess", "score")
 
 
-def _fit_unsupervised(spark, sf, name, rows=None):
-    """Fit on all benign training rows, or on a seeded sample of ``rows`` of them."""
-    from flowloom.operators.sampling import subsample_rows
-
+def _fit_unsupervised(spark, sf, name):
+    """Fit on all benign training rows."""
     benign, _, test = _parts(spark, sf)
-    model = _UNS[name](FEATURES, 42).fit(benign if rows is None else subsample_rows(benign, rows, 42))
+    model = _UNS[name](FEATURES, 42).fit(benign)
     return model.predict(test).select("row_id", S.TARGET, "guess", "score")
 
 
@@ -122,9 +120,46 @@ def elliptic_envelope(spark, sf):
     return _fit_unsupervised(spark, sf, "Elliptic Envelope")
 
 
-@query("local_outlier_factor_predict")
+# every distinct test row against every distinct benign training row, ties by distance, then smallest row id
+_D2 = " + ".join(f"power(a.{f} - b.{f}, 2)" for f in FEATURES)
+_K = 20
+cte("lof_ref", f"""select min(row_id) as pid, count(*) as m, {', '.join(FEATURES)} from model_table
+  join (select row_id from unsup where split = 'train') using (row_id) group by {', '.join(FEATURES)}""",
+    "model_table", "unsup")
+cte("lof_ask", f"""select distinct {', '.join(FEATURES)} from model_table
+  join (select row_id from unsup where split = 'test') using (row_id)""", "model_table", "unsup")
+
+
+def _lof_near(ask: str, weight: str) -> str:
+    return f"""select q, p, sqrt(d2) as d, least(w, {_K} - before) as w from (
+      select *, sum(w) over (partition by q order by d2, p) - w as before from (
+        select *, row_number() over (partition by q order by d2, p) as nth from (
+          select {ask} as q, b.pid as p, {_D2} as d2, {weight} as w from {{0}} a, lof_ref b) where w > 0)
+      where nth <= {_K}) where before < {_K}"""
+
+
+cte("lof_own", _lof_near("a.pid", "b.m - (a.pid = b.pid)::int").format("lof_ref"), "lof_ref")
+cte("lof_kd", "select q as p, max(d) as kdist from lof_own group by q", "lof_own")
+cte("lof_den", f"select q as p, 1 / (sum(greatest(d, kdist) * w) / {_K}.0e0 + 1e-10) as lrd from lof_own "
+    "join lof_kd using (p) group by q", "lof_own", "lof_kd")
+cte("lof_off", f"""select quantile_cont(-f, 0.1e0) as off from (select unnest(range(m)), f from lof_ref join (
+  select q as pid, sum(n.lrd * w) / {_K}.0e0 / any_value(o.lrd) as f from lof_own join lof_den n using (p)
+  join lof_den o on o.p = q group by q) using (pid))""", "lof_ref", "lof_own", "lof_den")
+cte("lof_test", "select row_number() over () as qid, * from lof_ask", "lof_ask")
+cte("lof_out", _lof_near("a.qid", "b.m").format("lof_test"), "lof_test", "lof_ref")
+cte("lof_scored", f"""select {', '.join(FEATURES)}, score from lof_test join (select q as qid,
+  sum(lrd * w) / {_K}.0e0 * (sum(greatest(d, kdist) * w) / {_K}.0e0 + 1e-10) as score
+  from lof_out join lof_kd using (p) join lof_den using (p) group by q) using (qid)""",
+    "lof_test", "lof_out", "lof_kd", "lof_den")
+
+
+@query("local_outlier_factor_predict", f"""select row_id, category,
+  case when score > -(select off from lof_off) then 1 else 0 end as guess, round(log10(score), 6) as score
+  from model_table join (select row_id from unsup where split = 'test') using (row_id)
+  join lof_scored using ({', '.join(FEATURES)})""", ("model_table", "unsup", "lof_scored", "lof_off"))
 def local_outlier_factor_predict(spark, sf):
-    return _fit_unsupervised(spark, sf, "Local Outlier Factor", _N)
+    out = _fit_unsupervised(spark, sf, "Local Outlier Factor")
+    return out.withColumn("score", F.round(F.log10("score"), 6))
 
 
 # every row of the embedding table against all others, k = 10

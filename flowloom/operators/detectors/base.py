@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.session import materialize
+from flowloom.session import MAX_BROADCAST, materialize  # noqa: F401
 
-MAX_BROADCAST = 64 << 20  # bytes of one broadcast model part
 _BINS = 4096  # histogram bins of one narrowing pass, and values read at its end
 
 
@@ -27,34 +26,39 @@ def stacked(columns) -> np.ndarray:
     return np.column_stack([c.to_numpy(dtype=float) for c in columns])
 
 
-def quantile(df: DataFrame, value: Column, p: float) -> float:
+def quantile(df: DataFrame, value: Column, p: float, weight: Column | None = None) -> float:
     """Exact interpolated quantile of the values that are neither null nor NaN.
 
-    Histograms narrow the range around the wanted ranks until few values, or equal ones, are left; no
-    task and no driver holds more than the bins.  The values are written once.
+    ``weight`` says how many rows a row stands for.  Histograms narrow the range around the wanted ranks
+    until few values, or equal ones, are left; no task and no driver holds more than the bins.  The values
+    are written once.
     """
-    rows = materialize(df.select(value.cast("double").alias("v")).where("v is not null and not isnan(v)"),
-                       "quantile")
-    n, lo, hi = rows.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    weight = F.lit(1) if weight is None else weight
+    rows = df.select(value.cast("double").alias("v"), weight.cast("bigint").alias("w"))
+    rows = materialize(rows.where("v is not null and not isnan(v) and w > 0"), "quantile")
+    n, lo, hi = rows.agg(F.sum("w"), F.min("v"), F.max("v")).first()
     if not n:
         raise SingularData("no values")
     at = p * (n - 1)
     first, second = int(at), min(int(at) + 1, n - 1)
-    low, high = _order_values(rows, n, lo, hi, first, second)
+    low, high = _order_values(rows, lo, hi, first, second)
     return low + (at - first) * (high - low)
 
 
-def _order_values(rows: DataFrame, n: int, lo: float, hi: float, first: int, second: int):
+def _order_values(rows: DataFrame, lo: float, hi: float, first: int, second: int):
     """The values of 0-based ranks ``first`` and ``second`` (the same or the next) among ``rows``."""
-    before = 0
+    before, count = 0, rows.count()
     while lo < hi:
         inside = rows.where(F.col("v").between(F.lit(lo), F.lit(hi)))
-        if n <= _BINS:
-            values = sorted(r.v for r in inside.collect())
-            return values[first - before], values[second - before]
+        if count <= _BINS:
+            found, upto = [], before
+            for v, w in sorted(tuple(r) for r in inside.collect()):
+                found += [v for rank in (first, second) if upto <= rank < upto + w]
+                upto += w
+            return found[0], found[-1]
         place = (F.col("v") - F.lit(lo)) / F.lit(hi - lo) * _BINS
         bins = (inside.groupBy(F.least(F.floor(place), F.lit(_BINS - 1)).alias("b"))
-                .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                .agg(F.sum("w").alias("n"), F.count("v").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
                 .orderBy("b").collect())
         for i, b in enumerate(bins):
             if first < before + b.n:
@@ -62,7 +66,7 @@ def _order_values(rows: DataFrame, n: int, lo: float, hi: float, first: int, sec
             before += b.n
         if second >= before + b.n:  # the pair lies on both sides of an edge
             return b.hi, bins[i + 1].lo
-        n, lo, hi = b.n, b.lo, b.hi
+        count, lo, hi = b.rows, b.lo, b.hi
     return lo, lo
 
 

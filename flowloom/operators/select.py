@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.normalize import seeded_key
-from flowloom.operators.encode import fit_standard
-from flowloom.operators.prefix import SLICE, value_slices
-from flowloom.session import default_slices
+from flowloom.operators.prefix import SLICE, order_slices, sums_before
+from flowloom.session import default_slices, materialize
 
 
 def value_cells(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
@@ -88,75 +87,84 @@ def mi_knn(df: DataFrame, features: list[str], target: str = "category", k: int
            row_id: str = "row_id", seed: int = 42, block: int = 50000) -> DataFrame:
     """Nearest-neighbour mutual information of a continuous and a discrete variable (Ross 2014).
 
-    Values are standardised and get a deterministic jitter of 1e-10, so that ties have an order.
-    Neighbours inside a class come from windows over position blocks with a halo of ``k`` rows on
-    both sides; the count inside the neighbour radius comes from one merged sweep.
+    Rows of equal values are told apart by a seeded md5 number, which acts as an infinitely small jitter:
+    the distance of two rows is the pair (difference of values, difference of numbers), the first part
+    decides.  A row's ball reaches from its k-th neighbour of the same class to that neighbour's mirror
+    image, both left out; the image ``2 x - y`` is kept with its rounding error, so comparisons are exact
+    and the ball holds at least the row itself.  All counting works on positions in the order
+    (value, number), however many rows share a value.
+
+    Null and NaN values leave their feature; a class of one row does not count.
     """
-    scaled = fit_standard(df, features).transform(df)
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("value")) for f in features]
-    long = scaled.select(F.col(row_id).alias("_id"), F.col(target).alias("_c"),
-                         F.inline(F.array(*cells)))
-    noise = F.conv(F.substring(seeded_key(seed, F.col("_id"), F.col("feature")), 1, 8), 16, 10)
-    long = long.withColumn("value", F.col("value") + noise.cast("double") * (1e-10 / 2**32))
-    cuts_from = value_slices(long, "value")
-    sizes = long.groupBy("feature", "_c").agg(F.count(F.lit(1)).alias("n_c"))
-    many = sizes.where("n_c > 1")
-
-    # position of each row inside its (feature, class), by value
-    seq = Window.partitionBy("feature", "_c", SLICE).orderBy("value", "_id")
-    totals = cuts_from.groupBy("feature", "_c", SLICE).agg(F.count(F.lit(1)).alias("_b"))
-    earlier = Window.partitionBy("feature", "_c").orderBy(SLICE).rowsBetween(
-        Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_b", F.coalesce(F.sum("_b").over(earlier), F.lit(0)))
-    placed = (cuts_from.withColumn("_r", F.row_number().over(seq))
-              .join(totals, ["feature", "_c", SLICE])
-              .withColumn("pos", F.col("_b") + F.col("_r") - 1).join(many, ["feature", "_c"]))
+    cells = [F.struct(F.lit(f).alias("feature"), (F.col(f"`{f}`").cast("double") + F.lit(0.0)).alias("x"))
+             for f in features]
+    long = df.select(F.col(row_id).alias("_id"), F.col(target).alias("_c"), F.inline(F.array(*cells)))
+    u = F.conv(F.substring(seeded_key(seed, F.col("_id"), F.col("feature")), 1, 12), 16, 10)
+    long = long.where("x is not null and not isnan(x)").withColumn("u", u.cast("bigint"))
+    found = materialize(_balls(order_slices(long, ["feature", "x", "u", "_id"]), k, block), "balls")
+    return _ball_scores(found)
+
+
+def _balls(rows: DataFrame, k: int, block: int) -> DataFrame:
+    """Per row the open ends (x, error, u) of its ball, below and above, with k and the class's size."""
+    group = ["feature", "_c"]
+    totals = materialize(rows.groupBy(*group, SLICE).agg(F.count(F.lit(1)).alias("_b")), "counts")
+    many = totals.groupBy(*group).agg(F.sum("_b").alias("n_c")).where("n_c > 1")
+    before = sums_before(totals, group, ["_b"]).join(many, group)
+    seq = Window.partitionBy(SLICE, *group).orderBy("x", "u", "_id")
+    placed = (rows.withColumn("_r", F.row_number().over(seq)).join(before, [*group, SLICE])
+              .withColumn("pos", F.col("_b") + F.col("_r") - 1))
+
+    # neighbours come from blocks of positions with a halo of k rows on both sides
     home = F.floor(F.col("pos") / block)
     halo = F.array_distinct(F.array(home, F.floor((F.col("pos") - k) / block),
                                     F.floor((F.col("pos") + k) / block)))
     blocks = (placed.withColumn("_home", home).withColumn("_block", F.explode(halo))
               .where("_block >= 0"))
-    near = Window.partitionBy("feature", "_c", "_block").orderBy("pos")
-    gaps = [F.col("value") - F.lag("value", j).over(near) for j in range(1, k + 1)]
-    gaps += [F.lead("value", j).over(near) - F.col("value") for j in range(1, k + 1)]
-    dist = F.array_sort(F.array_compact(F.array(*gaps)))
+    line = Window.partitionBy(*group, "_block").orderBy("pos")
+    here, at = F.struct("x", "u"), []
+    for j in range(1, k + 1):
+        for side, other in ((-1, F.lag(here, j).over(line)), (1, F.lead(here, j).over(line))):
+            gap = [(F.col(c) - other[c]) * -side for c in ("x", "u")]
+            at.append(F.when(other.isNotNull(), F.struct(
+                gap[0].alias("d"), gap[1].alias("e"), F.lit(side).alias("side"), other["x"].alias("x"),
+                other["u"].alias("u"))))
     kk = F.least(F.lit(k).cast("bigint"), F.col("n_c") - 1).cast("int")
-    radius = F.element_at(dist, kk)
-    found = (blocks.withColumn("_dist", radius).withColumn("k_i", kk)
-             .where("_block = _home").select("feature", "_id", "value", "_dist", "k_i", "n_c"))
-
-    # points strictly inside the radius: one sweep over points and interval ends
-    n_points = found.groupBy("feature").agg(F.count(F.lit(1)).alias("n_points"))
-    return _knn_scores(found, n_points)
-
-
-def _knn_scores(found: DataFrame, n_points: DataFrame) -> DataFrame:
-    rows = found.withColumn("q", F.struct("_id", "k_i", "n_c"))
-    # the neighbour that sets the radius lies on its edge; keep rounding from letting it in
-    rows = rows.withColumn("_in", F.col("_dist") - 1e-15 * (F.abs("value") + F.col("_dist")))
-    ends = rows.select("feature", F.inline(F.array(
-        F.struct(F.col("value").alias("x"), F.lit(1).alias("kind"), F.col("q")),
-        F.struct((F.col("value") - F.col("_in")).alias("x"), F.lit(2).alias("kind"), F.col("q")),
-        F.struct((F.col("value") + F.col("_in")).alias("x"), F.lit(0).alias("kind"),
-                 F.col("q")))))
-    ends = value_slices(ends, "x")
-    w = F.when(F.col("kind") == 1, 1).otherwise(0)
-    seq = Window.partitionBy("feature", SLICE).orderBy("x", "kind").rowsBetween(
-        Window.unboundedPreceding, 0)
-    totals = ends.groupBy("feature", SLICE).agg(F.sum(w).alias("_b"))
-    earlier = Window.partitionBy("feature").orderBy(SLICE).rowsBetween(
-        Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_b", F.coalesce(F.sum("_b").over(earlier), F.lit(0)))
-    swept = (ends.withColumn("_r", F.sum(w).over(seq)).join(totals, ["feature", SLICE])
-             .where("kind <> 1")
-             .withColumn("upto", (F.col("_r") + F.col("_b"))
-                         * F.when(F.col("kind") == 0, 1).otherwise(-1)))
-    counted = swept.groupBy("feature", "q").agg(F.sum("upto").alias("m"))
-    counted = counted.join(n_points, "feature")
-    score = F.avg(digamma(F.col("q.k_i")) - digamma(F.col("q.n_c")) - digamma(F.col("m")))
-    out = counted.groupBy("feature", "n_points").agg(score.alias("_s"))
-    return out.select("feature", F.greatest(F.lit(0.0), digamma(F.col("n_points")) + F.col("_s"))
-                      .alias("mi"))
+    near = blocks.withColumn("y", F.element_at(F.array_sort(F.array_compact(F.array(*at))), kk))
+    near = near.withColumn("k_i", kk).where("_block = _home")
+
+    twice, minus = F.col("x") * 2, -F.col("y.x")
+    image = twice + minus
+    part = image - twice
+    error = (twice - (image - part)) + (minus - part) + F.lit(0.0)  # never -0.0
+    own = F.struct(F.col("y.x").alias("x"), F.lit(0.0).alias("r"), F.col("y.u").alias("u"))
+    mirror = F.struct(image.alias("x"), error.alias("r"), (2 * F.col("u") - F.col("y.u")).alias("u"))
+    left = F.col("y.side") < 0
+    return near.select("feature", "_id", "x", "u", "k_i", "n_c", F.when(left, own).otherwise(mirror).alias("lo"),
+                       F.when(left, mirror).otherwise(own).alias("hi"))
+
+
+def _ball_scores(found: DataFrame) -> DataFrame:
+    """One sweep over points and ball ends in the order (x, error, u) counts the points of every ball."""
+    def end(kind: int, *at: Column) -> Column:
+        return F.struct(*[a.alias(n) for a, n in zip(at, ("x", "r", "u"))], F.lit(kind).alias("kind"))
+
+    ends = found.select("feature", "_id", F.inline(F.array(
+        end(0, F.col("hi.x"), F.col("hi.r"), F.col("hi.u")), end(1, F.col("x"), F.lit(0.0), F.col("u")),
+        end(2, F.col("lo.x"), F.col("lo.r"), F.col("lo.u")))))
+    order = ["x", "r", "u", "kind"]
+    ends = order_slices(ends, ["feature", *order])
+    one = F.when(F.col("kind") == 1, 1).otherwise(0)
+    totals = ends.groupBy("feature", SLICE).agg(F.sum(one).alias("_b"))
+    upto = Window.partitionBy(SLICE, "feature").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = (ends.withColumn("_r", F.sum(one).over(upto))
+             .join(sums_before(totals, ["feature"], ["_b"]), ["feature", SLICE]).where("kind <> 1")
+             .withColumn("_n", (F.col("_r") + F.col("_b")) * (1 - F.col("kind"))))
+    inside = swept.groupBy("feature", "_id").agg(F.sum("_n").alias("m"))
+    rows = found.select("feature", "_id", "k_i", "n_c").join(inside, ["feature", "_id"])
+    mean = F.avg(digamma(F.col("k_i")) - digamma(F.col("n_c")) - digamma(F.col("m")))
+    return rows.groupBy("feature").agg(F.greatest(
+        F.lit(0.0), digamma(F.count(F.lit(1))) + mean).alias("mi"))
 
 
 def digamma(n: Column) -> Column:
