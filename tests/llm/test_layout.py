@@ -316,3 +316,20 @@ def test_long_texts_in_parts():
     path = packing.vocabulary()
     joined = [i for p in packing.encode(path, cut) for i in p.tolist()]
     assert joined == whole[:-1] and packing.parts("x" * 500, 50) == ["x" * 500]
+
+
+def test_both_encoders_agree():
+    from flowloom.llm import packing
+
+    texts = [d[1] for d in real("documents", "/root/testdata/sf0.01")] + [
+        "a <|endoftext|> b", "", " ", "\u0000\x7f\xa0 \u2028\n\n", "it's 'S we'll  x\t\ty", "😀" * 9, "中文 текст ไทย", "\ud7ff\ue000"]
+    rng = random.Random(2)
+    signs = [chr(c) for c in (*range(0, 0x250), *range(0x370, 0x400), *range(0x4e00, 0x4e40), 0x1f600, 0x2028, 0xfeff)]
+    texts += ["".join(rng.choices(signs, k=60)) for _ in range(300)] + ["".join(rng.choices("aeinst ", k=400)) for _ in range(100)]
+    encoder = packing._encoder(packing.vocabulary())
+    assert encoder.ranks is not None
+    fast = encoder([t or "" for t in texts])
+    assert [x.tolist() + [2] for x in fast] == plain_ids(texts)
+    encoder = packing._Encoder(packing.vocabulary())
+    encoder.ranks = None
+    assert [x.tolist() for x in encoder(texts[-50:])] == [x.tolist() for x in fast[-50:]]
