@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom import schemas as S
 from flowloom.catalog import bridge as B
 from flowloom.catalog.registry import cte, query
+from flowloom.operators.contracts import required
 from flowloom.operators.counters import file_order, running_bytes, running_count
-from flowloom.operators.damped import Stat, damped
-from flowloom.operators.prefix import spread, time_slices
+from flowloom.operators.damped import Stat, bin_carry, damped
+from flowloom.operators.prefix import SLICE, spread, time_slices
 from flowloom.plans import enrich as E
 
 
@@ -142,29 +143,62 @@ def damped_std(spark, sf):
     return rounded(out.select("row_id", "h_l0_1_std"), {"h_l0_1_std": _M})
 
 
-# the carry seen directly: what earlier 400 s bins still weigh at the start of each (key, bin)
+# the carry seen directly: what earlier bins still weigh at the start of each (key, bin)
 @query("bucket_carry", """
 select a.src_ip, a.bin, round(sum(exp(-0.1e0 * (a.bin * 400000 - b.stime) / 1000.0e0)), 5) as carry
 from (select distinct src_ip, stime // 400000 as bin from req) a
 join req b on a.src_ip = b.src_ip and b.stime < a.bin * 400000
 group by a.src_ip, a.bin""", ("req",))
 def bucket_carry(spark, sf):
-    flows = B.complete(spark, sf)
-    width = 400000
-    cells = (flows.withColumn("bin", F.floor(F.col("stime") / width))
-             .groupBy("src_ip", "bin")
-             .agg(F.sum(F.exp(-0.1 * ((F.col("bin") + 1) * width - F.col("stime")) / 1000.0))
-                  .alias("left_over")))
-    near = cells.select("src_ip", (F.col("bin") + 1).alias("bin"), F.col("left_over").alias("p1"))
-    far = cells.select("src_ip", (F.col("bin") + 2).alias("bin"),
-                       (F.col("left_over") * F.exp(F.lit(-40.0))).alias("p2"))
-    older = (near.join(far, ["src_ip", "bin"], "full")
-             .withColumn("carry", F.coalesce("p1", F.lit(0.0)) + F.coalesce("p2", F.lit(0.0))))
-    # a bin whose older rows all lie further back still has them, at a weight that rounds to zero
-    first = cells.groupBy("src_ip").agg(F.min("bin").alias("first_bin"))
-    out = cells.join(first, "src_ip").where(F.col("bin") > F.col("first_bin"))
-    return (out.select("src_ip", "bin").join(older, ["src_ip", "bin"], "left")
-            .select("src_ip", "bin", F.round(F.coalesce("carry", F.lit(0.0)), 5).alias("carry")))
+    rows, source = _sliced(spark, sf)
+    out = bin_carry(rows, ["src_ip"], F.lit(1.0), [Stat("w", 0.1, "weight")], source=source)
+    first = F.min("bin").over(Window.partitionBy("src_ip"))
+    # a bin has one cell per slice; what lies before the bin is what its first slice finds
+    cells = out.groupBy("src_ip", "bin").agg(F.min_by("_c_w0", SLICE).alias("carry"))
+    return (cells.withColumn("first", first).where("bin > first")
+            .select("src_ip", "bin", F.round("carry", 5).alias("carry")))
+
+
+# files that overlap in time, one after the other: the rule row by row, per key
+_FILES = ("concat('p', cast(row_id % 3 as varchar))", "concat('p', cast(row_id % 3 as string))")
+cte("in_files", f"""select *, row_number() over (order by file_no, stime, row_id) as pos from req join (
+  select part, row_number() over (order by arg_min(stime, row_id), part) as file_no from (
+    select *, {_FILES[0]} as part from base) group by part) on part = {_FILES[0]}""", "req", "base")
+
+
+def _row_by_row(name: str, keys: str, value: str, lams: list[float]) -> None:
+    fades = [f"case when n.stime > r.stime then exp(-{lam}e0 * (n.stime - r.stime) / 1000.0e0) else 1.0e0 end" for lam in lams]
+    x = "cast(n.stime - r.stime as double)" if value == "step" else f"cast(n.{value} as double)"
+    first = "0.0e0" if value == "step" else f"cast({value} as double)"
+    sums = ", ".join(f"w{i} * {f} + 1, s{i} * {f} + {x}" for i, f in enumerate(fades))
+    cte(name, f"""with recursive n as (select *, row_number() over (partition by {keys} order by pos) as nth from (
+        select *, src_ip_bytes + dst_ip_bytes as flow_bytes, least(src_ip, dst_ip) as lo, greatest(src_ip, dst_ip) as hi
+        from in_files)),
+      r({keys}, nth, stime, row_id, {', '.join(f'w{i}, s{i}' for i in range(len(lams)))}) as (
+        select {keys}, nth, stime, row_id, {', '.join(f'1.0e0, {first}' for _ in lams)} from n where nth = 1
+        union all
+        select {', '.join('n.' + k for k in keys.split(', '))}, n.nth, n.stime, n.row_id, {sums}
+        from r join n on n.nth = r.nth + 1 and {' and '.join(f'n.{k} = r.{k}' for k in keys.split(', '))})
+      select * from r""", "in_files")
+
+
+_row_by_row("file_h", "src_ip", "flow_bytes", [0.01, 0.1, 1.0, 3.0])
+_row_by_row("file_mi", "src_ip, dst_ip", "src_ip_bytes", [0.01, 0.1, 1.0])
+_row_by_row("file_jit", "lo, hi", "step", [1.0])
+
+
+@query("damped_file_sequence", f"""select row_id, round(h.w0, {_W}) as "H_L0_01_weight", round(h.w1, {_W}) as "H_L0_1_weight",
+  round(h.w2, {_W}) as "H_L1_weight", round(h.w3, {_W}) as "H_L3_weight", round(h.s0 / h.w0, {_M}) as "H_L0_01_mean",
+  round(m.w0, {_W}) as "MI_dir_L0_01_weight", round(m.w1, {_W}) as "MI_dir_L0_1_weight", round(m.w2, {_W}) as "MI_dir_L1_weight",
+  round(m.s1 / m.w1, {_M}) as "MI_dir_L0_1_mean", round(j.s0 / j.w0, {_M}) as "HH_jit_L1_mean"
+  from file_h h join file_mi m using (row_id) join file_jit j using (row_id)""", ("file_h", "file_mi", "file_jit"))
+def damped_file_sequence(spark, sf):
+    """State that runs on over files that overlap in time, so that clocks go back."""
+    base = B.base(spark, sf).withColumn("source_file", F.expr(_FILES[1]))
+    flows = required(base, S.REQUIRED)
+    out = safe(E.file_damped(E.by_file(flows, file_order(base))).select(
+        "row_id", *[F.col(f"`{s.name}`") for s in [*E.H_STATS, *E.MI_STATS, *E.JITTER_STATS]]))
+    return rounded(out, {c: _M if c.endswith("mean") else _W for c in out.columns[1:]})
 
 
 @query("file_order", """select source_file, first_time,

@@ -24,7 +24,7 @@ from flowloom.plans import protocols as P
 from flowloom.plans import tuning as T
 from flowloom.session import materialize
 from flowloom.streaming import flows as R
-from flowloom.streaming.replay import replay
+from flowloom.streaming.replay import closing, replay, replay_batches
 
 FEATURES = ["src_ip_bytes", "dst_ip_bytes", "src_pkts", "dst_pkts", "dur"]
 _N = 2000  # benign rows of the sampled protocols, and of the local outlier factor's reference
@@ -311,8 +311,8 @@ def _req(spark, sf):
        ("damped_src",))
 def damped_stream(spark, sf):
     total = F.col("src_ip_bytes") + F.col("dst_ip_bytes")
-    out = replay(spark, _by_file(_req(spark, sf)),
-                 lambda s: R.damped_stream(s, ["src_ip"], total, 0.01))
+    out = replay_batches(spark, _by_file(_req(spark, sf)),
+                         lambda s, root: R.damped_stream(s, ["src_ip"], total, 0.01, root))
     return rounded(out, {"weight": 5, "mean": 3})
 
 
@@ -321,16 +321,17 @@ def damped_stream(spark, sf):
        ("req",))
 def counters_stream(spark, sf):
     total = F.col("src_ip_bytes") + F.col("dst_ip_bytes")
-    return replay(spark, _by_file(_req(spark, sf)),
-                  lambda s: R.counters_stream(s, ["dst_ip"], total))
+    return replay_batches(spark, _by_file(_req(spark, sf)),
+                          lambda s, root: R.counters_stream(s, ["dst_ip"], total, root))
 
 
-@query("flow_assembly_stream", FLOWS_SQL + f" having max(ts) + {FLOW_GAP} <= (select max(ts) from packets)", ("packets",))
+@query("flow_assembly_stream", FLOWS_SQL, ("packets",))
 def flow_assembly_stream(spark, sf):
     packets = B.packets(spark, sf)
     middle = packets.agg(F.percentile_approx("ts", 0.5)).first()[0]
-    parts = [packets.where(F.col("ts") <= middle), packets.where(F.col("ts") > middle)]
-    return replay(spark, parts, lambda s: R.flow_assembly_stream(s, 120000))
+    parts = [packets.where(F.col("ts") <= middle), packets.where(F.col("ts") > middle),
+             closing(packets, "ts", 2 * FLOW_GAP)]
+    return replay(spark, parts, lambda s: R.flow_assembly_stream(s, FLOW_GAP))
 
 
 @query("score_stream")
@@ -347,12 +348,11 @@ _DRIFT = [("connection_state", "connection_state <> '' and connection_state not
           ("protocol", "protocol not in (6, 17)")]
 
 
-# windows the watermark has passed
-@query("vocab_drift_stream", "select * from (" + " union all ".join(
+@query("vocab_drift_stream", " union all ".join(
     f"select (stime // {_WIDTH}) * {_WIDTH} as start_ms, '{c}' as field, cast({c} as varchar) as value, "
-    f"count(*) as n from raw where {cond} group by all" for c, cond in _DRIFT)
-    + f") where start_ms + {_WIDTH} <= (select max(stime) from raw)", ("raw",))
+    f"count(*) as n from raw where {cond} group by all" for c, cond in _DRIFT), ("raw",))
 def vocab_drift_stream(spark, sf):
     raw = B.raw_flows(spark, sf).select("row_id", "source_file", "stime", "connection_state",
                                         "requested_service", "protocol")
-    return replay(spark, _by_file(raw), lambda s: R.vocab_drift_stream(s, window="10 minutes"))
+    parts = [*_by_file(raw), closing(raw, "stime", 2 * _WIDTH, protocol=-1)]
+    return replay(spark, parts, lambda s: R.vocab_drift_stream(s, window="10 minutes"))

@@ -84,19 +84,20 @@ def skip_existing_anti(spark, sf):
     return base.select("source_file").distinct().join(done, "source_file", "left_anti")
 
 
-@query("skip_bad_files", "select 'read' as status, count(*) as n from base union all "
-       "select 'skipped files', 1", ("base",))
+@query("skip_bad_files", "select 'read' as status, count(distinct source_file) as n_files, count(*) as n_rows from base "
+       "union all select 'unreadable', 1, 0 union all select 'empty', 1, 0", ("base",))
 def skip_bad_files(spark, sf):
     path = shared_path(spark, "tolerant")
-    _with_ids(B.base(spark, sf)).write.parquet(f"{path}/good")
-    # one damaged file among the good ones: text where parquet is expected
-    B.table(spark, sf, "region").selectExpr("cast(r_name as string)").coalesce(1).write.text(
-        f"{path}/bad")
-    schema = T.StructType([T.StructField("row_id", T.LongType())])
-    rows = I.read_tolerant(spark, path, schema)
-    read = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("read").alias("status"), "n")
-    bad = I.unread_files(spark, path, rows).agg(F.count(F.lit(1)).alias("n"))
-    return read.unionByName(bad.select(F.lit("skipped files").alias("status"), "n"))
+    rows = _with_ids(B.base(spark, sf)).select("row_id", "src_ip", "source_file")
+    rows.repartition("source_file").write.partitionBy("source_file").parquet(f"{path}/good")
+    rows.drop("source_file").limit(0).coalesce(1).write.parquet(f"{path}/empty")
+    # a damaged file among the good ones: text where parquet is expected
+    B.table(spark, sf, "region").selectExpr("cast(r_name as string)").coalesce(1).write.text(f"{path}/bad")
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("src_ip", T.StringType())])
+    good, report = I.read_checked(spark, path, schema)
+    kept = good.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_rows"))
+    return (report.join(kept, "file_path", "left").groupBy("status")
+            .agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")))
 
 
 _MODEL_COLS = ", ".join(["row_id", *B.MODEL_FEATURES])
@@ -116,15 +117,15 @@ def load_normalized(spark, sf):
     return I.load_normalized(spark, cfg)
 
 
-@query("dataset_fingerprint", """
-select count(*) as n_rows, cast(sum(cast(concat('0x', substr(md5(concat_ws('|',
-  cast(l_orderkey as varchar), cast(l_partkey as varchar), cast(l_suppkey as varchar),
-  cast(l_linenumber as varchar), l_returnflag, l_linestatus)), 1, 8)) as bigint)) as bigint)
-  as digest from lineitem""")
+_PRINTED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+_PRINT_TEXT = " || ".join(f"coalesce(length({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in _PRINTED)
+
+
+@query("dataset_fingerprint", f"""with d as (select sha256({_PRINT_TEXT}) as d from lineitem)
+select count(*) as n_rows, sum(('0x' || substr(d, 1, 15))::bigint::hugeint)::varchar as digest_a,
+  sum(('0x' || substr(d, 16, 15))::bigint::hugeint)::varchar as digest_b from d""")
 def dataset_fingerprint(spark, sf):
-    return I.fingerprint(B.table(spark, sf, "lineitem"),
-                         ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
-                          "l_linestatus"])
+    return I.fingerprint(B.table(spark, sf, "lineitem"), _PRINTED)
 
 
 # --- packets to flows ---------------------------------------------------------------------------

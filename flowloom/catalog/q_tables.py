@@ -232,12 +232,12 @@ _T975 = "case n when 1 then 0 " + " ".join(
     f"when {n} then {t_quantile(0.975, n - 1)!r}" for n in range(2, 41)) + " end"
 
 
-@query("metric_summary", f"""select model, metric, round(mean, 6) as mean, round(std, 6) as std,
+@query("metric_summary", f"""select dataset, model, metric, round(mean, 6) as mean, round(std, 6) as std,
   round(mean - {_T975} * std / sqrt(n), 5) as ci95_low, round(mean + {_T975} * std / sqrt(n), 5) as ci95_high, n
-  from summary where dataset = 'D0'""", ("summary",))
+  from summary""", ("summary",))
 def metric_summary(spark, sf):
-    out = R.metric_summary(B.metrics_long(spark, sf).where("dataset = 'D0'"))
-    return out.select("model", "metric", F.round("mean", 6).alias("mean"),
+    out = R.metric_summary(B.metrics_long(spark, sf), ("dataset", "model", "metric"))
+    return out.select("dataset", "model", "metric", F.round("mean", 6).alias("mean"),
                       F.round("std", 6).alias("std"), F.round("ci95_low", 5).alias("ci95_low"),
                       F.round("ci95_high", 5).alias("ci95_high"), "n")
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.operators.prefix import SLICE
+from flowloom.operators.prefix import SLICE, order_slices, running_sums
 
 _SPAN = 40.0  # largest exponent; exp(40) is 2e17, far from overflow
 _BIN = "_bin"
@@ -34,24 +34,16 @@ def _exp(x: Column) -> Column:
     return F.exp(x)
 
 
-def damped(rows: DataFrame, keys: list[str], value: Column | None, stats: list[Stat],
-           time: str = "stime", row_id: str = "row_id", source: DataFrame | None = None,
-           name: str = SLICE) -> DataFrame:
-    """Add damped statistics of ``value`` per key; ``value=None`` means the inter-arrival time (ms).
-
-    ``rows`` carries the slice column of :func:`prefix.time_slices`; ``source`` may give the same
-    rows before the exchange, so that carry totals are combined on the map side.
-    """
+def _layout(keys: list[str], value: Column | None, stats: list[Stat], time: str, row_id: str, name: str):
+    """Decay rates, sums per rate, bin width, a function that adds the terms' inputs, and the terms."""
     lams = sorted({s.lam for s in stats})
     need = {lam: {"weight": "w", "mean": "ws", "std": "wsq"} for lam in lams}
     parts = {lam: "".join(sorted({p for s in stats if s.lam == lam for p in need[lam][s.kind]}))
              for lam in lams}
     width = max(1, math.floor(_SPAN * 1000 / max(lams)))  # ms per bin
-    jitter = value is None
-    base = rows if (jitter or source is None) else source
 
     def prepared(df: DataFrame) -> DataFrame:
-        if jitter:
+        if value is None:
             by_time = Window.partitionBy(name, *keys).orderBy(time, row_id)
             gap = F.col(time) - F.lag(time).over(by_time)
             df = df.withColumn("_x", F.coalesce(gap, F.lit(0)).cast("double"))
@@ -65,10 +57,39 @@ def damped(rows: DataFrame, keys: list[str], value: Column | None, stats: list[S
         return {"w": up, "s": F.col("_x") * up, "q": F.col("_x") * F.col("_x") * up}[part]
 
     measures = {f"_{p}{i}": term(p, lam) for i, lam in enumerate(lams) for p in parts[lam]}
-    totals = prepared(base).groupBy(name, *keys, _BIN).agg(
+    return lams, parts, width, prepared, measures
+
+
+def _totals(rows: DataFrame, keys: list[str], measures: dict[str, Column], time: str, name: str) -> DataFrame:
+    return rows.groupBy(name, *keys, _BIN).agg(
         *[F.sum(m).alias(c) for c, m in measures.items()],
         F.min(time).alias("_t0"), F.max(time).alias("_t1"))
-    carry = _carry(totals, keys, lams, parts, width, jitter, name)
+
+
+def bin_carry(rows: DataFrame, keys: list[str], value: Column, stats: list[Stat], time: str = "stime",
+              row_id: str = "row_id", source: DataFrame | None = None, name: str = SLICE) -> DataFrame:
+    """What earlier rows of a key still weigh at the start of each of its bins, per slice of the bin.
+
+    One row per (slice, key, ``bin``), with ``_c_w0`` for the weight at the lowest decay rate, ``_c_s0``
+    for the sum, and so on; this is the table that :func:`damped` joins to the rows.
+    """
+    lams, parts, width, prepared, measures = _layout(keys, value, stats, time, row_id, name)
+    totals = _totals(prepared(rows if source is None else source), keys, measures, time, name)
+    return _carry(totals, keys, lams, parts, width, False, name).withColumnRenamed(_BIN, "bin")
+
+
+def damped(rows: DataFrame, keys: list[str], value: Column | None, stats: list[Stat],
+           time: str = "stime", row_id: str = "row_id", source: DataFrame | None = None,
+           name: str = SLICE) -> DataFrame:
+    """Add damped statistics of ``value`` per key; ``value=None`` means the inter-arrival time (ms).
+
+    ``rows`` carries the slice column of :func:`prefix.time_slices`; ``source`` may give the same
+    rows before the exchange, so that carry totals are combined on the map side.
+    """
+    lams, parts, width, prepared, measures = _layout(keys, value, stats, time, row_id, name)
+    jitter = value is None
+    base = rows if (jitter or source is None) else source
+    carry = _carry(_totals(prepared(base), keys, measures, time, name), keys, lams, parts, width, jitter, name)
 
     local = Window.partitionBy(name, *keys, _BIN).orderBy(time, row_id).rowsBetween(
         Window.unboundedPreceding, 0)
@@ -129,3 +150,43 @@ def _carry(totals: DataFrame, keys: list[str], lams: list[float], parts: dict, w
             cells = cells.withColumn(f"_c_{p}{i}", c)
     wanted = [f"_c_{p}{i}" for i, lam in enumerate(lams) for p in parts[lam]]
     return cells.select(name, *keys, _BIN, *wanted)
+
+
+def in_sequence(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt into slices that never decrease in ``order``, an order in which times may go back.
+
+    ``order`` must tell rows apart; the usual one is (file number, time, row id).
+    """
+    return order_slices(df, order)
+
+
+def damped_in_sequence(rows: DataFrame, keys: list[str], value: Column | None, stats: list[Stat],
+                       order: list[str], time: str = "stime", source: DataFrame | None = None,
+                       name: str = SLICE) -> DataFrame:
+    """Damped statistics of rows taken in a given order instead of the order of time.
+
+    A row that is older than the key's last one does not decay the sums, and the key's clock moves back to
+    it.  So only forward steps decay: along the order they add up to a clock of the key's own, which never
+    goes back, and in which the closed form of :func:`damped` holds.  ``value=None`` means the step itself
+    (ms, negative where time goes back).  ``rows`` come from :func:`in_sequence`; ``source`` may give the
+    same rows as they were written, so that totals do not repeat what was added to ``rows`` since.
+    """
+    source = rows if source is None else source
+    seq = Window.partitionBy(name, *keys).orderBy(*order)
+    ends = source.groupBy(name, *keys).agg(F.max_by(time, F.struct(*order)).alias("_last"))
+    before = ends.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy(name)))
+    zero = F.lit(0).cast("bigint")
+
+    def stepped(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_prev", F.lag(time).over(seq)).withColumn("_pos", F.row_number().over(seq))
+        step = F.coalesce(F.col(time) - F.coalesce("_prev", "_last"), zero)
+        return df.join(before, [name, *keys]).withColumn("_step", step).drop("_prev", "_last")
+
+    steps = stepped(source)
+
+    def clocked(df: DataFrame) -> DataFrame:
+        return running_sums(df, keys, order, {"_clock": F.greatest("_step", zero)}, steps, name)
+
+    x = F.col("_step") if value is None else value
+    out = damped(clocked(stepped(rows)), keys, x, stats, time="_clock", row_id="_pos", source=clocked(steps), name=name)
+    return out.drop("_clock", "_step", "_pos")

@@ -9,8 +9,8 @@ from flowloom import schemas as S
 from flowloom.functions import normalize as N
 from flowloom.functions import signal as G
 from flowloom.operators.contracts import required
-from flowloom.operators.counters import running_bytes, running_count
-from flowloom.operators.damped import Stat, damped
+from flowloom.operators.counters import file_order, running_bytes, running_count
+from flowloom.operators.damped import Stat, damped, damped_in_sequence, in_sequence
 from flowloom.operators.prefix import SLICE, spread, time_slices
 
 _SIGNAL = ["src_ip_bytes", "dst_ip_bytes", "src_pkts", "dst_pkts"]
@@ -24,6 +24,8 @@ MI_STATS = [Stat("MI_dir_L0.01_weight", 0.01, "weight"), Stat("MI_dir_L0.1_weigh
             Stat("MI_dir_L1_weight", 1.0, "weight"), Stat("MI_dir_L0.1_mean", 0.1, "mean")]
 JITTER_STATS = [Stat("HH_jit_L1_mean", 1.0, "mean")]
 
+FILE_ORDER = ["file_no", "stime", "row_id"]
+
 
 def add_pair(df: DataFrame, a: str = "src_ip", b: str = "dst_ip") -> DataFrame:
     """Unordered address pair as two columns."""
@@ -43,9 +45,42 @@ def jitter_damped(rows: DataFrame) -> DataFrame:
     return damped(rows, ["_lo", "_hi"], None, JITTER_STATS)
 
 
-def enrich(base: DataFrame, keep: tuple[str, ...] = (), slices: int | None = None) -> DataFrame:
-    """The 34-column table; ``keep`` adds columns such as ``row_id`` in front."""
+def by_file(flows: DataFrame, files: DataFrame | None = None, file: str = "source_file") -> DataFrame:
+    """Rows in the order of their files, then time, then row id; ``files`` gives file numbers.
+
+    Without ``files`` they are numbered by the time of their first row.
+    """
+    files = file_order(flows, file) if files is None else files
+    return in_sequence(flows.join(files.select(file, "file_no"), file), FILE_ORDER)
+
+
+def file_damped(source: DataFrame) -> DataFrame:
+    """All damped columns over rows from :func:`by_file`: state runs on from file to file."""
+    source = add_pair(source)
+    rows = spread(source)
+    total = F.col("src_ip_bytes") + F.col("dst_ip_bytes")
+    for keys, value, stats in ((["src_ip"], total, H_STATS), (["src_ip", "dst_ip"], F.col("src_ip_bytes"), MI_STATS),
+                               (["_lo", "_hi"], None, JITTER_STATS)):
+        rows = damped_in_sequence(rows, keys, value, stats, FILE_ORDER, source=source)
+    return rows
+
+
+def enrich(base: DataFrame, keep: tuple[str, ...] = (), slices: int | None = None,
+           file_sequence: bool = False) -> DataFrame:
+    """The 34-column table; ``keep`` adds columns such as ``row_id`` in front.
+
+    Rows run in the order (time, row id) over all files.  ``file_sequence`` takes one file after the other
+    instead, by the time of their first row, so that time goes back where files overlap.
+    """
     flows = required(base, S.REQUIRED)
+    if file_sequence:
+        source = by_file(flows, file_order(base))
+        rows = file_damped(source)
+        rows = running_count(rows, ["source_file", "src_ip"], "N_IN_Conn_P_SrcIP", source, FILE_ORDER)
+        rows = running_count(rows, ["source_file", "dst_ip"], "N_IN_Conn_P_DstIP", source, FILE_ORDER)
+        rows = running_bytes(rows, "dst_ip", F.col("src_ip_bytes") + F.col("dst_ip_bytes"), "TnBPDstIP",
+                             source, FILE_ORDER)
+        return _finished(rows, keep)
     source = add_pair(time_slices(flows, slices=slices))
     rows = spread(source)
     rows = source_damped(rows, source)
@@ -55,6 +90,10 @@ def enrich(base: DataFrame, keep: tuple[str, ...] = (), slices: int | None = Non
     rows = running_count(rows, ["source_file", "dst_ip"], "N_IN_Conn_P_DstIP", source)
     rows = running_bytes(rows, "dst_ip", (F.col("src_ip_bytes") + F.col("dst_ip_bytes")),
                          "TnBPDstIP", source)
+    return _finished(rows, keep)
+
+
+def _finished(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     stats = G.stats(G.signal(*[F.col(c) for c in _SIGNAL]))
     rows = rows.withColumns({
         **stats, "TnBPDstIP": F.col("TnBPDstIP").cast("double"),

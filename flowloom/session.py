@@ -63,3 +63,9 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def quoted(columns: list[str]) -> list[str]:
     """Column names that may contain dots, as select expressions."""
     return [f"`{c}`" for c in columns]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator wrote and nobody reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

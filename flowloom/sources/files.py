@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom import schemas as S
 from flowloom.functions.normalize import binary_category, coded
+from flowloom.session import materialize
 
 
 def _reader(spark: SparkSession, schema: T.StructType | None, fmt: str):
@@ -63,27 +68,74 @@ def pending(df: DataFrame, done: DataFrame, by: str = "source_file") -> DataFram
     return df.join(done.select(by).distinct(), by, "left_anti")
 
 
-def read_tolerant(spark: SparkSession, folder: str, schema: T.StructType,
-                  fmt: str = "parquet") -> DataFrame:
-    """Read a folder and skip files that cannot be read."""
-    return (_reader(spark, schema, fmt).option("recursiveFileLookup", True)
-            .option("ignoreCorruptFiles", True).load(folder)
-            .withColumn("file_path", F.col("_metadata.file_path")))
+_EMPTY_BYTES = 8 << 20  # a file without rows that is larger than this is damaged
 
 
-def unread_files(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
-    """Files of the folder that gave no row, because they are empty or damaged."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-             .select(F.regexp_replace("path", "^file:/*", "/").alias("file_path")))
-    seen = rows.select(F.regexp_replace("file_path", "^file:/*", "/").alias("file_path"))
-    return files.join(seen.distinct(), "file_path", "left_anti")
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def read_checked(spark: SparkSession, folder: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows of the whole files of a Parquet folder, and a report on every file.
+
+    A reader that skips damaged files keeps what it decoded before the damage.  Here the rows are written
+    once with their file, counted, and held against the count in the file's footer, which a scan of no
+    columns gives without decoding anything.  Files with fewer rows than that are left out whole.
+
+    The report has file_path, n_expected, n_read and status: ``read``, ``half-read`` (damaged inside),
+    ``unreadable`` (no footer) or ``empty`` (sound, without rows).
+    """
+    def reader() -> DataFrame:
+        found = (spark.read.schema(schema).option("recursiveFileLookup", True)
+                 .option("ignoreCorruptFiles", True).parquet(folder))
+        return found.withColumn("file_path", _plain(F.col("_metadata.file_path")))
+
+    rows = materialize(reader(), "checked")
+    read = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_read"))
+    expected = reader().groupBy("file_path").agg(F.count(F.lit(1)).alias("n_expected"))
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = binary.load(folder).select(_plain(F.col("path")).alias("file_path"))
+    zero = F.lit(0).cast("bigint")
+    counted = (files.join(expected, "file_path", "left").join(read, "file_path", "left")
+               .withColumns({c: F.coalesce(c, zero) for c in ("n_expected", "n_read")}))
+    small = binary.load(folder).where(F.col("length") <= _EMPTY_BYTES).select(
+        _plain(F.col("path")).alias("file_path"), _sound("content").alias("_sound"))
+    none = counted.where("n_expected = 0").join(small, "file_path", "left")
+    some = counted.where("n_expected > 0").withColumn("_sound", F.lit(True))
+    status = (F.when(~F.coalesce("_sound", F.lit(False)), "unreadable").when(F.col("n_expected") == 0, "empty")
+              .when(F.col("n_read") < F.col("n_expected"), "half-read").otherwise("read"))
+    report = materialize(some.unionByName(none).withColumn("status", status).drop("_sound"), "file-report")
+    broken = report.where("status = 'half-read'").select("file_path")
+    return rows.join(broken, "file_path", "left_anti"), report
+
+
+def _sound(content: str) -> Column:
+    """Whether bytes are a Parquet file with a footer."""
+    def ok(data: bytes) -> bool:
+        try:
+            return pq.ParquetFile(io.BytesIO(data)).metadata.num_rows >= 0
+        except (pa.ArrowException, OSError):
+            return False
+
+    @F.pandas_udf("boolean")
+    def sound(column: pd.Series) -> pd.Series:
+        return column.map(ok)
+
+    return sound(content)
 
 
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Row count and an order-free digest of a table: the sum of 32 md5 bits per row."""
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in columns or df.columns]
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(bits).alias("digest"))
+    """Row count and an order-free digest of a table: sums of two 60-bit parts of each row's SHA-256.
+
+    A cell is written with its length before it, a null as ``-``, so no two rows share a text.
+    """
+    cells = [F.col(f"`{c}`").cast("string") for c in columns or df.columns]
+    text = F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells])
+    digest = F.sha2(text.cast("binary"), 256)
+    parts = {f"digest_{n}": F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")
+             for n, at in (("a", 1), ("b", 16))}
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *[
+        F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(n) for n, p in parts.items()])
 
 
 @dataclass(frozen=True)
