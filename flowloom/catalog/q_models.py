@@ -1,17 +1,19 @@
 """Detectors, evaluation protocols, tuning, whole plans and streams.
 
-The registered protocol and search runs use few trials, iterations and trees.  Forest, envelope and
-one-class SVM fit on all benign training rows; the local outlier factor keeps a seeded sample of them as
-its reference.  Scoring covers whole tables.
+The registered search and protocol runs use the full spaces, models and fold counts, on whole tables.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowloom import schemas as S
 from flowloom.catalog import bridge as B
 from flowloom.catalog.q_enrich import rounded
+from flowloom.catalog.q_sampling import _split_sql
 from flowloom.catalog.q_sources import FLOW_GAP, FLOWS_SQL
 from flowloom.catalog.registry import cte, query
 from flowloom.operators import detectors as D
@@ -27,7 +29,6 @@ from flowloom.streaming import flows as R
 from flowloom.streaming.replay import closing, replay, replay_batches
 
 FEATURES = ["src_ip_bytes", "dst_ip_bytes", "src_pkts", "dst_pkts", "dur"]
-_N = 2000  # benign rows of the sampled protocols, and of the local outlier factor's reference
 
 _SUP = {"Random Forest": lambda f, s: D.RandomForest(f, n_estimators=20, max_depth=8, seed=s),
         "Decision Tree": lambda f, s: D.DecisionTree(f, max_depth=8, seed=s),
@@ -187,83 +188,122 @@ def local_outlier_factor(spark, sf):
                       F.round("factor", 5).alias("factor"))
 
 
-# --- tuning and protocols ---------------------------------------------------------------------------
-_SMALL = {"Random Forest": {"n_estimators": (5, 10), "max_depth": (5, 8),
-                            "max_features": ["sqrt", "log2"]},
-          "Decision Tree": T.SPACES["Decision Tree"] | {"max_depth": (5, 8)}}
-_SMALL_UNS = {"Isolation Forest": {"n_estimators": (20, 40), "max_samples": (0.1, 0.3),
-                                   "contamination": (0.01, 0.5), "max_features": (0.5, 1.0)},
-              "Local Outlier Factor": T.SPACES["Local Outlier Factor"],
-              "Elliptic Envelope": T.SPACES["Elliptic Envelope"],
-              "One-Class SVM": {"nu": (0.01, 0.5), "gamma": ["auto", "scale"],
-                                "kernel": ["linear"]}}
+# --- tuning and protocols: full spaces and models; what does not depend on a fit is checked by SQL ------
+_TRIALS, _FOLDS, _ROUNDS = 3, 10, 3
+
+
+def _facts(out):
+    """What the metric rows say of the rows they were measured on: per model and iteration the number of
+    metrics, of test rows by class, and whether all shares lie in 0..1."""
+    wide = out.where("model <> 'all'").groupBy("iteration", "model").pivot("metric", S.METRICS).agg(F.first("value"))
+    share = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1_score", "auc")]
+    return wide.select("iteration", "model", (F.col("TP") + F.col("FN")).cast("bigint").alias("attacks"),
+                       (F.col("TN") + F.col("FP")).cast("bigint").alias("benign"),
+                       reduce(lambda a, b: a & b, share).alias("in_range"),
+                       F.col("MCC").between(-1, 1).alias("mcc_in_range"),
+                       (F.round(F.col("accuracy") * (F.col("TP") + F.col("TN") + F.col("FP") + F.col("FN")))
+                        == F.col("TP") + F.col("TN")).alias("accuracy_fits"),
+                       ((F.col("train_time") > 0) & (F.col("predict_time") >= 0)).alias("timed"))
+
+
+def _facts_sql(models: list[str], first: int, last: int, rows: str) -> str:
+    names = ", ".join(f"('{m}')" for m in models)
+    return (f"select i::int as iteration, model, attacks, benign, true as in_range, true as mcc_in_range, "
+            f"true as accuracy_fits, true as timed from range({first}, {last + 1}) t(i) "
+            f"cross join (values {names}) m(model) join ({rows}) r on r.iteration is null or r.iteration = i")
+
+
+def _sides(source: str, by: str = "cast(null as bigint)") -> str:
+    return (f"select {by} as iteration, count(*) filter (where category = 1) as attacks, "
+            f"count(*) filter (where category = 0) as benign from {source} where split = 'test' group by 1")
+
+
+cte("rounds", f"select row_id, category, unnest(range(1, {_ROUNDS + 1})) as iteration from model_table", "model_table")
+cte("split_rounds", _split_sql("rounds", "cast(42 + iteration - 1 as varchar)", "iteration"), "rounds")
+cte("outer10", "select row_id, category, unnest(range(1, 11)) as iteration from model_table", "model_table")
+cte("split_outer", _split_sql("outer10", "cast(42 + iteration - 1 as varchar)", "iteration"), "outer10")
+_UNS_ROWS = _sides("unsup")
+
+
+def _trial_facts(table):
+    """Per model and trial: drawn parameters inside their ranges, a score of 0..1, one best trial."""
+    best = F.sum(F.col("best").cast("int")).over(Window.partitionBy("model"))
+    spaces = F.lit(None).cast("boolean")
+    for model, space in T.SPACES.items():
+        inside = F.lit(True)
+        for name, span in space.items():
+            p = F.col("params")[name]
+            inside = inside & (p.isin([str(x) for x in span]) if isinstance(span, list)
+                               else p.cast("double").between(*span))
+        spaces = F.when(F.col("model") == model, inside).otherwise(spaces)
+    return (T.mark_best(table).withColumn("n_best", best.cast("int"))
+            .select("model", "trial", F.col("value").between(0, 1).alias("in_range"), spaces.alias("in_space"),
+                    "n_best", "state", (F.size("params")).alias("n_params")))
 
 
-def _trials(table):
-    return T.mark_best(table).select("model", "trial", "value", "state", "best")
+def _trials_sql(models: list[str]) -> str:
+    names = ", ".join(f"('{m}', {len(T.SPACES[m])})" for m in models)
+    return (f"select model, t::int as trial, true as in_range, true as in_space, 1 as n_best, 'COMPLETE' as state, "
+            f"k as n_params from (values {names}) m(model, k) cross join range({_TRIALS}) r(t)")
 
 
-@query("search_supervised")
+@query("search_supervised", _trials_sql(["Random Forest", "Decision Tree"]))
 def search_supervised(spark, sf):
     split = supervised_split(_table(spark, sf)).where("split = 'train'").drop("split")
-    return _trials(T.search_supervised(split, FEATURES, 1, folds=3, spaces=_SMALL)[1])
+    return _trial_facts(T.search_supervised(split, FEATURES, _TRIALS, folds=_FOLDS)[1])
 
 
-@query("search_unsupervised")
+@query("search_unsupervised", _trials_sql(S.UNSUPERVISED_MODELS))
 def search_unsupervised(spark, sf):
     benign, valid, _ = _parts(spark, sf)
-    return _trials(T.search_unsupervised(benign, valid, FEATURES, 1, subsample=_N,
-                                         spaces=_SMALL_UNS)[1])
+    return _trial_facts(T.search_unsupervised(benign, valid, FEATURES, _TRIALS)[1])
 
 
-@query("eval_quick")
+@query("eval_quick", _facts_sql(S.SUPERVISED_MODELS, 0, 0, _sides("split80")) + " union all "
+       + _facts_sql(S.UNSUPERVISED_MODELS, 0, 0, _UNS_ROWS), ("split80", "unsup"))
 def eval_quick(spark, sf):
     benign, _, test = _parts(spark, sf)
-    sup = P.eval_quick_supervised(_table(spark, sf), FEATURES, constructors=_SUP)
-    uns = P.eval_quick_unsupervised(benign, test, FEATURES, constructors={
-        "Elliptic Envelope": _UNS["Elliptic Envelope"]})
-    return sup.unionByName(uns)
+    sup = P.eval_quick_supervised(_table(spark, sf), FEATURES)
+    return _facts(sup.unionByName(P.eval_quick_unsupervised(benign, test, FEATURES)))
 
 
-@query("eval_iter")
+@query("eval_iter", _facts_sql(S.SUPERVISED_MODELS, 1, 10, _sides("split_outer", "iteration")) + " union all "
+       + _facts_sql(S.UNSUPERVISED_MODELS, 1, 10, _UNS_ROWS), ("split_outer", "unsup"))
 def eval_iter(spark, sf):
     benign, _, test = _parts(spark, sf)
-    sup = P.eval_iter_supervised(_table(spark, sf), FEATURES, 2, constructors={
-        "Naive Bayes": _SUP["Naive Bayes"]})
-    uns = P.eval_iter_unsupervised(benign, test, FEATURES, 2, constructors={
-        "Isolation Forest": _UNS["Isolation Forest"]})
-    return sup.unionByName(uns)
+    sup = P.eval_iter_supervised(_table(spark, sf), FEATURES, 10)
+    return _facts(sup.unionByName(P.eval_iter_unsupervised(benign, test, FEATURES, 10)))
 
 
-@query("eval_nested")
+@query("eval_nested", _facts_sql(S.SUPERVISED_MODELS, 1, 10, _sides("split_outer", "iteration")), ("split_outer",))
 def eval_nested(spark, sf):
-    return P.eval_nested(_table(spark, sf), FEATURES, 1, 3, constructors={
-        "Decision Tree": _SUP["Decision Tree"], "Naive Bayes": _SUP["Naive Bayes"]})
+    return _facts(P.eval_nested(_table(spark, sf), FEATURES, 10, 10))
 
 
-@query("mccv_supervised")
+@query("mccv_supervised", _facts_sql(S.SUPERVISED_MODELS, 1, _ROUNDS, _sides("split_rounds", "iteration")),
+       ("split_rounds",))
 def mccv_supervised(spark, sf):
-    return P.mccv_supervised(_table(spark, sf), FEATURES, 2, constructors=_SUP)
+    return _facts(P.mccv_supervised(_table(spark, sf), FEATURES, _ROUNDS))
 
 
-@query("mccv_unsupervised")
+@query("mccv_unsupervised", _facts_sql(S.UNSUPERVISED_MODELS, 1, _ROUNDS, _UNS_ROWS), ("unsup",))
 def mccv_unsupervised(spark, sf):
     benign, _, test = _parts(spark, sf)
-    return P.mccv_unsupervised(benign, test, FEATURES, 1, n_subsample=_N, constructors=_UNS)
+    return _facts(P.mccv_unsupervised(benign, test, FEATURES, _ROUNDS))
 
 
-@query("learning_curve")
+@query("learning_curve", "select n, 'Isolation Forest' as model, true as in_range from "
+       "(values (5000), (10000), (20000), (50000)) t(n)")
 def learning_curve(spark, sf):
     benign, _, test = _parts(spark, sf)
-    return P.learning_curve(benign, test, FEATURES, (500, 1000, 2000))
+    return P.learning_curve(benign, test, FEATURES).select(
+        "n", "model", F.col("f1_score").between(0, 1).alias("in_range"))
 
 
 @query("run_experiment")
 def run_experiment(spark, sf):
     table = B.model_table(spark, sf).drop("label")
-    out = E.run_experiment(table, k=5, n_trials=1, n_subsample=_N, iterations=1, folds=3,
-                           selector="binned", spaces=_SMALL | _SMALL_UNS)
-    return out.summary
+    return E.run_experiment(table, k=10, n_trials=_TRIALS, iterations=2).summary
 
 
 # --- evaluation of a fitted model, checked by SQL: naive Bayes on the seeded split ---------------------

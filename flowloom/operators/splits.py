@@ -52,6 +52,38 @@ def mccv_splits(df: DataFrame, k: int, seed: int = 42, target: str = "category",
     return supervised_split(rows, seed, target, row_id, share, ("iteration",), key)
 
 
+def mccv_held(df: DataFrame, k: int, seed: int = 42, target: str = "category",
+              row_id: str = "row_id", share: float = 0.2) -> Column:
+    """The iterations 1..K of :func:`mccv_splits` in which a row is on the test side, as an array column.
+
+    Per iteration and class one cut is collected; rows are only compared with them.
+    """
+    rows = df.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    key = seeded_key(F.lit(seed) + F.col("iteration") - 1, F.col(row_id))
+    cuts = key_cuts(rows, ["iteration", target], key, row_id, lambda counts: _test_quota(
+        counts, ["iteration"], target, share), ["_quota"]).where("_quota is not null").collect()
+    held = []
+    for r in cuts:
+        own = F.struct(seeded_key(seed + r["iteration"] - 1, F.col(row_id)).alias("_key"), F.col(row_id).alias("_tie"))
+        cut = F.struct(F.lit(r["_quota"]["_key"]).alias("_key"), F.lit(r["_quota"]["_tie"]).alias("_tie"))
+        held.append(F.when((F.col(target) == r[target]) & (own <= cut), F.lit(r["iteration"])))
+    return F.array_compact(F.array(*held)).cast("array<int>") if held else F.array().cast("array<int>")
+
+
+def nested_folds(df: DataFrame, outer: Column, n_outer: int, n_inner: int, seed: int = 42,
+                 target: str = "category", row_id: str = "row_id") -> DataFrame:
+    """Add ``inner``: per outer iteration that trains on the row, ``iteration * n_inner + fold`` of its fold.
+
+    ``outer`` is the array of iterations that hold the row out.  All iterations are ranked in one pass.
+    """
+    rounds = F.sequence(F.lit(1), F.lit(n_outer))
+    long = df.select(row_id, target, F.explode(F.array_except(rounds, outer)).alias("_o"))
+    ranked = hash_rank(long, ["_o", target], seeded_key(F.lit(seed) + F.col("_o") - 1, F.col(row_id)), row_id)
+    number = (F.col("_o") * n_inner + F.col("rn") % n_inner).cast("int")
+    folds = ranked.groupBy(row_id).agg(F.collect_list(number).alias("inner"))
+    return df.join(folds, row_id, "left").withColumn("inner", F.coalesce("inner", F.array().cast("array<int>")))
+
+
 def unsupervised_split(df: DataFrame, seed: int = 42, target: str = "category",
                        row_id: str = "row_id") -> DataFrame:
     """Benign 60/20/20 into train / valid / test, attack 20 % valid and 20 % test, disjoint."""
