@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from flowloom import schemas as S
 from flowloom.catalog import bridge as B
 from flowloom.catalog.q_enrich import safe
 from flowloom.catalog.registry import cte, query
+from flowloom.functions import tails
 from flowloom.functions.tails import t_quantile
 from flowloom.operators import groupfeats as G
 from flowloom.operators import metrics as M
@@ -511,19 +514,111 @@ cte("paired_test", f"select {_GROUP}, count(*) as n, -avg(diff) / (stddev_samp(d
     f"from pairs group by {_GROUP}", "pairs")
 
 
+# upper tail of the normal distribution; fixed values: coefficients of the published double-precision form (Hart 1968)
+_TAIL_TOP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871,
+             221.213596169931, 220.206867912376)
+_TAIL_BOTTOM = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674,
+                637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def _horner(coefficients, x: str) -> str:
+    out = f"{coefficients[0]!r}e0"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}e0)"
+    return out
+
+
+def _sf_sql(x: str) -> str:
+    far = f"abs({x}) + 0.65e0"
+    for k in (4, 3, 2, 1):
+        far = f"abs({x}) + {k} / ({far})"
+    up = (f"exp(-{x} * {x} / 2) * case when abs({x}) < 7.07106781186547e0 then {_horner(_TAIL_TOP, f'abs({x})')} / "
+          f"{_horner(_TAIL_BOTTOM, f'abs({x})')} else 1 / ({far}) / 2.506628274631e0 end")
+    return f"case when {x} < 0 then 1 - {up} else {up} end"
+
+
+def _t_sql(most: int) -> str:
+    """Two-sided tail of t by the finite series for each number of degrees of freedom."""
+    cases = []
+    for df in range(1, most + 1):
+        term, terms = 1.0, []
+        for k in range(1, (df + 1) // 2 if df % 2 else df // 2 + 1):
+            power = 2 * k - 1 if df % 2 else 2 * k - 2
+            terms.append(f"{term!r}e0 * power(cos(th), {power})")
+            term *= 2 * k / (2 * k + 1) if df % 2 else (2 * k - 1) / (2 * k)
+        series = " + ".join(terms) or "0.0e0"
+        inside = f"2 / pi() * (th + sin(th) * ({series}))" if df % 2 else f"sin(th) * ({series})"
+        cases.append(f"when {df} then 1 - ({inside})")
+    return f"case n - 1 {' '.join(cases)} end"
+
+
+def _shapiro_weights(most: int) -> str:
+    """Weights of ordered values of the W test for every sample size, by the published rule."""
+    from statistics import NormalDist
+
+    rows = []
+    for n in range(3, most + 1):
+        m = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+        s, u = sum(x * x for x in m), 1 / math.sqrt(n)
+        ends = [math.sqrt(0.5)] if n == 3 else [sum(c * u ** k for k, c in enumerate(tails._A_LAST)) + m[-1] / math.sqrt(s)]
+        if n > 5:
+            ends.append(sum(c * u ** k for k, c in enumerate(tails._A_NEXT)) + m[-2] / math.sqrt(s))
+        k = len(ends)
+        phi = (s - 2 * sum(x * x for x in m[-k:])) / (1 - 2 * sum(e * e for e in ends)) if n > 3 else 1.0
+        a = [x / math.sqrt(phi) for x in m]
+        for i, e in enumerate(ends):
+            a[i], a[n - 1 - i] = -e, e
+        rows += [f"({n}, {i + 1}, {x!r}e0)" for i, x in enumerate(a)]
+    return ", ".join(rows)
+
+
+def _at(coefficients, x: str) -> str:
+    return " + ".join(f"{c!r}e0 * power({x}, {k})" for k, c in enumerate(coefficients))
+
+
+cte("ways", f"""with recursive w(n, s, c) as (select 0, 0, 1.0e0 union all
+  select n + 1, s + u * (n + 1), sum(c) from w cross join (values (0), (1)) t(u) where n < {B.ITERATIONS}
+  group by n, s + u * (n + 1)) select * from w""")
+cte("signed_t", f"""select {_GROUP}, sum(t * t - 1) as ties from (select *,
+  count(*) over (partition by {_GROUP}, abs(diff)) as t from pairs where diff <> 0) group by {_GROUP}""", "pairs")
+cte("wilcoxon_all", f"""with g as (select distinct {_GROUP} from pairs),
+  s as (select {_GROUP}, coalesce(w_plus, 0) as w_plus, coalesce(w_minus, 0) as w_minus, coalesce(n, 0) as n,
+    coalesce(ties, 0) as ties from g left join signed using ({_GROUP}) left join signed_t using ({_GROUP})),
+  z as (select *, abs(w_plus - n * (n + 1) / 4.0e0) / sqrt((n * (n + 1.0e0) * (2 * n + 1) - ties / 2.0e0) / 24) as z from s),
+  e as (select {_GROUP}, 2 * sum(c) / power(2, any_value(s.n)) as p from s join ways on ways.n = s.n
+    and ways.s <= least(w_plus, w_minus) where ties = 0 group by {_GROUP})
+  select z.*, round(case when n = 0 then 1 when ties = 0 then least(1, e.p) else 2 * ({_sf_sql('z')}) end, 8) as wilcoxon_p
+  from z left join e using ({_GROUP})""", "pairs", "signed", "signed_t", "ways")
+cte("shapiro_all", f"""with w(n, i, a) as (values {_shapiro_weights(B.ITERATIONS)}),
+  r as (select *, row_number() over (partition by {_GROUP} order by diff) as i, count(*) over (partition by {_GROUP}) as n,
+    diff - avg(diff) over (partition by {_GROUP}) as d from pairs),
+  v as (select {_GROUP}, any_value(r.n) as n, min(diff) as lo, max(diff) as hi,
+    least(1, power(sum(a * diff), 2) / nullif(sum(d * d), 0)) as w from r left join w on w.n = r.n and w.i = r.i group by {_GROUP}),
+  y as (select *, ln(1 - w) as y, ({_at(tails._SMALL_GAMMA, 'n')}) as gamma from v where n > 3 and w < 1 and lo < hi),
+  z as (select *, case when n <= 11 then (-ln(gamma - y) - ({_at(tails._SMALL_MEAN, 'n')})) / exp({_at(tails._SMALL_SD, 'n')})
+    else (y - ({_at(tails._LARGE_MEAN, 'ln(n)')})) / exp({_at(tails._LARGE_SD, 'ln(n)')}) end as z
+    from y where n > 11 or y < gamma)
+  select v.*, case when v.lo = v.hi then 1 when v.n < 3 then null
+    when v.n = 3 then greatest(0, 6 / pi() * (asin(sqrt(v.w)) - asin(sqrt(0.75e0)))) when v.w >= 1 then 1
+    when z.z is null then 0 else {_sf_sql('z.z')} end as shapiro_p
+  from v left join z using ({_GROUP})""", "pairs")
+cte("t_all", f"""select *, {_t_sql(B.ITERATIONS - 1)} as t_p from (select *, atan(abs(t) / sqrt(n - 1.0e0)) as th from paired_test)""",
+    "paired_test")
+
+
 @query("wilcoxon_w", f"select {_GROUP}, w_plus, w_minus, n from signed", ("signed",))
 def wilcoxon_w(spark, sf):
     return T.signed_ranks(_pairs(spark, sf)).drop("ties")
 
 
-@query("wilcoxon")
+@query("wilcoxon", f"select {_GROUP}, w_plus, w_minus, n, ties, wilcoxon_p from wilcoxon_all", ("wilcoxon_all",))
 def wilcoxon(spark, sf):
-    return T.wilcoxon(_pairs(spark, sf))
+    return T.wilcoxon(_pairs(spark, sf)).withColumn("wilcoxon_p", F.round("wilcoxon_p", 8))
 
 
-@query("shapiro")
+@query("shapiro", f"select {_GROUP}, round(shapiro_p, 6) as shapiro_p from shapiro_all", ("shapiro_all",))
 def shapiro(spark, sf):
-    return T.shapiro(_pairs(spark, sf))
+    return T.shapiro(_pairs(spark, sf)).withColumn("shapiro_p", F.round("shapiro_p", 6))
 
 
 @query("friedman", "select model, metric, n, round(chi2, 6) as chi2, round(exp(-chi2 / 2), 8) as friedman_p "
@@ -538,12 +633,17 @@ def paired_t(spark, sf):
     return T.paired_t(_pairs(spark, sf)).select(*T.GROUP, "n", F.round("t", 6).alias("t"))
 
 
-@query("adaptive_test")
+@query("adaptive_test", f"""select {_GROUP}, case when shapiro_p >= 0.05 and t_p is not null then 'paired t'
+    when shapiro_p >= 0.05 then 'signed rank (fallback)' else 'signed rank' end as test,
+  round(case when shapiro_p >= 0.05 and t_p is not null then t_p else wilcoxon_p end, 5) as p_value
+  from shapiro_all join wilcoxon_all using ({_GROUP}) join t_all using ({_GROUP})""",
+       ("shapiro_all", "wilcoxon_all", "t_all"))
 def adaptive_test(spark, sf):
     return T.adaptive(_pairs(spark, sf))
 
 
-@query("normality_table")
+@query("normality_table", f"""select {_GROUP}, round(shapiro_p, 5) as shapiro_p,
+  case when shapiro_p >= 0.05 then 'yes' else 'no' end as normal from shapiro_all""", ("shapiro_all",))
 def normality_table(spark, sf):
     return T.normality(_pairs(spark, sf))
 
@@ -561,9 +661,15 @@ def stats_table(spark, sf):
                       F.round("friedman_p", 8).alias("friedman_p"))
 
 
-@query("stats_table_full")
+@query("stats_table_full", f"""with m as (select {_GROUP}, avg(y) - avg(x) as mean_diff from pairs group by {_GROUP})
+  select {_GROUP}, round(mean_diff, 6) as mean_diff, round(shapiro_p, 6) as shapiro_p, wilcoxon_p,
+    round(exp(-chi2 / 2), 8) as friedman_p, wilcoxon_p < 0.05 as significant
+  from m join shapiro_all using ({_GROUP}) join wilcoxon_all using ({_GROUP}) left join friedman_t using (model, metric)
+  where metric in ({_TESTED})""", ("pairs", "shapiro_all", "wilcoxon_all", "friedman_t"))
 def stats_table_full(spark, sf):
-    return T.stats_table(B.metrics_long(spark, sf), _PAIRS, B.DATASETS, S.TESTED_METRICS)
+    out = T.stats_table(B.metrics_long(spark, sf), _PAIRS, B.DATASETS, S.TESTED_METRICS)
+    return out.withColumns({c: F.round(c, d) for c, d in (("mean_diff", 6), ("shapiro_p", 6), ("wilcoxon_p", 8),
+                                                          ("friedman_p", 8))})
 
 
 # a closed p-value both engines can state: two-sided normal tails are not SQL, exp(-chi2 / 2) is

@@ -10,6 +10,7 @@ from flowloom import schemas as S
 from flowloom.operators import detectors as D
 from flowloom.operators import metrics as M
 from flowloom.operators.detectors.lof import lof_table
+from flowloom.operators.splits import stratified_kfold
 from flowloom.plans import experiment, protocols, tuning
 
 
@@ -82,6 +83,38 @@ def test_mccv_rows_and_determinism(table):
     assert got[0] == got[1]
 
 
+def test_protocols_share_one_table(table):
+    make = {"Naive Bayes": protocols.SUPERVISED["Naive Bayes"],
+            "Decision Tree": lambda f, s: D.DecisionTree(f, max_depth=3, seed=s)}
+    out = protocols.eval_nested(table, ["a", "b"], 2, 3, constructors=make)
+    rows = {(r.iteration, r.model, r.metric): r.value for r in out.collect()}
+    assert {k[:2] for k in rows} == {(i, m) for i in (1, 2) for m in make} | {(1, "all"), (2, "all")}
+    assert all(rows[i, m, "TP"] + rows[i, m, "FN"] == 60 and rows[i, m, "f1_score"] > 0.95
+               for i in (1, 2) for m in make)
+    assert rows[1, "all", "iteration_time"] > sum(rows[1, m, "train_time"] for m in make)
+
+
+def test_search_takes_the_best_trial(table):
+    spaces = {"Decision Tree": {"max_depth": (0, 3), "min_samples_split": (2, 900), "criterion": ["gini", "entropy"]}}
+    best, trials = tuning.search_supervised(table, ["a", "noise"], 4, folds=3, spaces=spaces)
+    rows = trials.collect()
+    top = max(rows, key=lambda r: (r.value, -r.trial))
+    assert {k: str(v) for k, v in best["Decision Tree"].items()} == top.params and top.value > 0.9
+    # a trial's fold metrics are those of its own models
+    one = tuning.CLASSES["Decision Tree"](["a", "noise"], **best["Decision Tree"])
+    folds = stratified_kfold(table, 3).persist()
+    f1s = [M.scores(one.fit(folds.where(F.col("fold") != k)).predict(folds.where(F.col("fold") == k)),
+                    truth="category").first().f1_score for k in range(3)]
+    assert top.value == pytest.approx(sum(f1s) / 3)
+
+
+def test_detectors_whose_rows_are_singular_score_zero(spark):
+    flat = spark.createDataFrame([(i, 1.0, 1.0, i % 2) for i in range(60)], "row_id long, a double, b double, category int")
+    _, trials = tuning.search_unsupervised(flat.where("category = 0"), flat, ["a", "b"], 1, spaces={
+        "Elliptic Envelope": tuning.SPACES["Elliptic Envelope"]})
+    assert [r.value for r in trials.collect()] == [0.0]
+
+
 def test_experiment_smoke(table, tmp_path):
     spaces = {"Random Forest": {"n_estimators": (3, 4), "max_depth": (3, 4),
                                 "max_features": ["sqrt"]},
