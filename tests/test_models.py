@@ -75,6 +75,21 @@ def test_rows_of_short_rank_are_tolerated(spark):
     assert model.predict(df).where("guess = 1").count() <= 25
 
 
+def test_envelope_finds_the_lowest_determinant(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    # two groups: the median start is drawn to the wide one
+    x = np.vstack([rng.normal(0, 3, (7, 2)), rng.normal(9, 0.4, (7, 2))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a double, b double")
+    h = 8
+    least = min(np.linalg.slogdet(np.cov(x[list(c)].T, bias=True))[1] for c in combinations(range(14), h))
+    model = D.EllipticEnvelope(["a", "b"], support_fraction=h / 14).fit(df)
+    assert model.raw_logdet == pytest.approx(least, abs=1e-6)
+    alone = D.EllipticEnvelope(["a", "b"], support_fraction=h / 14, starts=0).fit(df)
+    assert model.raw_logdet <= alone.raw_logdet + 1e-9
+
+
 def test_mccv_rows_and_determinism(table):
     one = {"Naive Bayes": protocols.SUPERVISED["Naive Bayes"]}
     got = [protocols.mccv_supervised(table, ["a", "b"], 2, constructors=one)
