@@ -39,15 +39,19 @@ class Spec:
     bootstrap: bool
 
 
-def drawn(ids: np.ndarray, seed: int, tree: int) -> np.ndarray:
-    """How often each row is drawn for a tree: Poisson with mean 1, from a hash of the row id."""
+def uniforms(ids: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """A number in [0, 1) for each row id, of this tree alone."""
     with np.errstate(over="ignore"):
         z = ids.astype(np.uint64) + np.uint64((seed * 1_000_003 + tree + 1) % 2 ** 64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def drawn(ids: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """How often each row is drawn for a tree: Poisson with mean 1, from a hash of the row id."""
     steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
-    return np.searchsorted(steps, u, "right")
+    return np.searchsorted(steps, uniforms(ids, seed, tree), "right")
 
 
 def _goodness(left: np.ndarray, right: np.ndarray, criterion: str) -> np.ndarray:

@@ -41,15 +41,21 @@ def test_normality_has_a_p_value_at_every_size(spark, n):
 
 @pytest.mark.parametrize("n, psi", [(300, 100), (5000, 64)])
 def test_every_tree_draws_its_own_rows(spark, n, psi):
-    df = spark.range(n).withColumnRenamed("id", "row_id")
-    drawn = D.IsolationForest(["row_id"], n_estimators=12)._tree_rows(df, n, psi).toPandas()
-    sizes = drawn.groupby("tree")["row_id"].agg(["size", "nunique"])
-    assert (sizes == psi).all().all() and len(sizes) == 12
-    first, second = (set(drawn[drawn.tree == t].row_id) for t in (0, 1))
+    df = spark.range(n).selectExpr("id as _id", "cast(id as double) as f0")
+    near = D.IsolationForest(["row_id"], n_estimators=12)._tree_rows(df, ["f0"], n, psi).toPandas()
+    # every tree has psi candidates at least, and they are the rows of its smallest numbers
+    assert (near.groupby("tree").size() >= psi).all() and near.tree.nunique() == 12
+    drawn = near.sort_values(["u", "_id"]).groupby("tree").head(psi)
+    sizes = drawn.groupby("tree")["_id"].agg(["size", "nunique"])
+    assert (sizes == psi).all().all()
+    first, second = (set(drawn[drawn.tree == t]["_id"]) for t in (0, 1))
     assert first != second and (n > 12 * psi or first & second)
 
 
-def test_trees_refuse_missing_values_and_depths(spark):
+def test_histogram_trees_refuse_missing_values_and_depths(spark, monkeypatch):
+    from flowloom.operators.detectors import supervised
+
+    monkeypatch.setattr(supervised, "MOST_ROWS", 10)
     rows = [(i, i % 2, float(i) if i % 10 else None) for i in range(60)]
     df = spark.createDataFrame(rows, "row_id int, category int, f double")
     with pytest.raises(Exception, match="(?i)null|nan"):
