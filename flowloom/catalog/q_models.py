@@ -34,7 +34,7 @@ _SUP = {"Random Forest": lambda f, s: D.RandomForest(f, n_estimators=20, max_dep
         "Decision Tree": lambda f, s: D.DecisionTree(f, max_depth=8, seed=s),
         "Naive Bayes": lambda f, s: D.NaiveBayes(f)}
 _UNS = {"Isolation Forest": lambda f, s: D.IsolationForest(f, contamination=0.1, seed=s),
-        "One-Class SVM": lambda f, s: D.OneClassSVM(f, nu=0.1, steps=5, seed=s),
+        "One-Class SVM": lambda f, s: D.OneClassSVM(f, nu=0.1, seed=s),
         "Local Outlier Factor": lambda f, s: D.LocalOutlierFactor(f, contamination=0.1),
         "Elliptic Envelope": lambda f, s: D.EllipticEnvelope(f, seed=s)}
 

@@ -90,6 +90,30 @@ def test_envelope_finds_the_lowest_determinant(spark):
     assert model.raw_logdet <= alone.raw_logdet + 1e-9
 
 
+@pytest.mark.parametrize("kernel", ["rbf", "linear", "poly"])
+def test_one_class_svm_reaches_the_optimum(spark, kernel):
+    from flowloom.operators.detectors.oneclass import feature_map, shortest_mixture
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(2, 1, (120, 2))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a double, b double")
+    model = D.OneClassSVM(["a", "b"], nu=0.2, gamma=0.3, kernel=kernel, gap=0.002).fit(df)
+    assert model.gap <= 0.002
+    # the same dual by many plain steps over the kernel matrix of all rows
+    phi = feature_map(kernel, 0.3, 2, x)
+    z = phi(x)
+    a = np.full(120, 1 / 120)
+    for k in range(20_000):
+        low = np.argsort(z @ (a @ z), kind="stable")[:24]
+        a += (2 / (k + 2)) * (np.where(np.isin(np.arange(120), low), 1 / 24, 0) - a)
+    want = float(np.sum((a @ z) ** 2))
+    assert float(model.w @ model.w) == pytest.approx(want, rel=0.01)
+    assert 20 <= model.predict(df).where("guess = 1").count() <= 26
+    hull = rng.normal(1, 1, (30, 3))
+    best = shortest_mixture(hull)
+    assert (hull @ best >= best @ best - 1e-9).all()
+
+
 def test_mccv_rows_and_determinism(table):
     one = {"Naive Bayes": protocols.SUPERVISED["Naive Bayes"]}
     got = [protocols.mccv_supervised(table, ["a", "b"], 2, constructors=one)
