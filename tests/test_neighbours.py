@@ -46,8 +46,7 @@ def data(kind, rng, n):
     return rng.normal(size=(n, 9))
 
 
-@pytest.mark.parametrize("kind", ["grid", "hot", "line", "wide"])
-@pytest.mark.parametrize("own", [True, False])
+@pytest.mark.parametrize("kind, own", [("grid", True), ("hot", True), ("hot", False), ("line", False), ("wide", True)])
 def test_neighbours_equal_brute_force(spark, monkeypatch, kind, own):
     monkeypatch.setattr(N, "_BLOCK", 37)
     rng = np.random.default_rng(7)

@@ -6,9 +6,11 @@ import check
 import pytest
 
 import __spark_entry__ as entry
+from flowloom.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+# the training-data queries are compared in tests/llm
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +25,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_gives_the_enriched_table(spark):
