@@ -68,9 +68,40 @@ def random_forest(spark, sf):
     return _fit_supervised(spark, sf, "Random Forest")
 
 
-@query("decision_tree")
+_DEPTH = 8
+
+
+def _tree_sql(depth: int) -> str:
+    """The tree level by level: all cuts of all nodes are compared, then rows move to their child."""
+    cell = "list_filter([" + ", ".join(f"{{'f': {i}, 'x': {f}}}" for i, f in enumerate(FEATURES))
+    value = "case f " + " ".join(f"when {i} then {f}" for i, f in enumerate(FEATURES)) + " end"
+    # class weights n / (2 n_c) over the training rows; test rows weigh nothing and only follow
+    out = f"""with t0 as (select row_id, category, split, {', '.join(FEATURES)}, 1::bigint as node,
+      case when split = 'train' and category = 0 then (select count(*) / (2.0e0 * count(*) filter (where category = 0))
+        from split80 where split = 'train') else 0 end as w0,
+      case when split = 'train' and category = 1 then (select count(*) / (2.0e0 * count(*) filter (where category = 1))
+        from split80 where split = 'train') else 0 end as w1 from split80)"""
+    for k in range(depth):
+        out += f""",
+    s{k} as (select node, sum(w0) as a, sum(w1) as b from t{k} where split = 'train' group by node),
+    c{k} as (select node, f, x, sum(sum(w0)) over w as l0, sum(sum(w1)) over w as l1, lead(x) over w as y
+      from (select node, w0, w1, unnest({cell}], lambda c: true), recursive := true) from t{k} where split = 'train')
+      group by node, f, x window w as (partition by node, f order by x)),
+    b{k} as (select node, f, case when x + (y - x) / 2 < y then x + (y - x) / 2 else x end as cut from (
+      select *, row_number() over (partition by node order by round(((l0 * l0 + l1 * l1) / (l0 + l1)
+        + (power(a - l0, 2) + power(b - l1, 2)) / (a - l0 + b - l1)) / (a + b), 10) desc, f, x) as place
+      from c{k} join s{k} using (node) where y is not null and a > 0 and b > 0) where place = 1),
+    t{k + 1} as (select t.* replace (case when f is null then node when {value} > cut then 2 * node + 1 else 2 * node end as node)
+      from (select * from t{k} left join b{k} using (node)) t)""".replace("t.* replace", "t.* exclude (f, cut) replace")
+    return out + f""",
+    leaf as (select node, sum(w1) / (sum(w0) + sum(w1)) as p from t{depth} where split = 'train' group by node)
+    select row_id, category, case when p > 0.5 then 1 else 0 end as guess, round(p, 6) as score
+    from t{depth} join leaf using (node) where split = 'test'"""
+
+
+@query("decision_tree", _tree_sql(_DEPTH), ("split80",))
 def decision_tree(spark, sf):
-    return _fit_supervised(spark, sf, "Decision Tree")
+    return _fit_supervised(spark, sf, "Decision Tree").withColumn("score", F.round("score", 6))
 
 
 _NB = " union all ".join(

@@ -260,8 +260,8 @@ _CNT = ", ".join(f"'{m}'" for m in S.COUNT_METRICS)
 
 
 @query("metric_sem_table", f"""select dataset, model, metric,
-  round(case when metric in ({_CNT}) then trunc(mean) else mean end, 6) as mean,
-  round(case when metric in ({_CNT}) then trunc(std / sqrt(n)) when model in ({_SUP}) then std
+  round(case when metric in ({_CNT}) then trunc(round(mean, 9)) else mean end, 6) as mean,
+  round(case when metric in ({_CNT}) then trunc(round(std / sqrt(n), 9)) when model in ({_SUP}) then std
     else std / sqrt(n) end, 6) as error, n from summary""", ("summary",))
 def metric_sem_table(spark, sf):
     return _r(R.metric_sem(B.metrics_long(spark, sf)), 6)

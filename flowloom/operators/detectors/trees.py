@@ -4,7 +4,8 @@ A model is a spec: how many trees, how deep, which rows are held out of it.  The
 to a few tasks, each of which grows some of its trees; a forest's rows are drawn by a hash of (seed, tree,
 row id), so neither their order nor the number of tasks matters.  Splits are exact: all midpoints between
 neighbouring values of a node are tried, rows with a missing value go to the side where they fit better,
-and a node of fewer than ``min_split`` drawn rows is a leaf.
+and a node of fewer than ``min_split`` drawn rows is a leaf.  Of equally good cuts the first feature's
+smallest one is taken.
 """
 
 from __future__ import annotations
@@ -96,6 +97,8 @@ def _best_cuts(x: np.ndarray, rows: np.ndarray, node: np.ndarray, class_w: np.nd
         # nothing else would be on the right, or nothing is missing: not a cut of its own
         other[gone[i + 1] | (missing[k].sum(1) == 0)] = -np.inf
         scores.append(other)
+    # per unit of weight and rounded, so that equal cuts stay equal: the smallest value then wins
+    scores = np.round(np.array(scores) / total[k].sum(1), 10)
     side = np.argmax(scores, axis=0)
     score = np.max(scores, axis=0)
     first = np.flatnonzero(np.diff(k, prepend=-1))

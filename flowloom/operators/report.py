@@ -85,7 +85,8 @@ def metric_sem(table: DataFrame, groups: tuple[str, ...] = ("dataset", "model",
         F.col("_sem"))
 
     def whole(c: Column) -> Column:
-        return F.when(count, c.cast("bigint").cast("double")).otherwise(c)
+        # a mean that is whole but for the order of its additions stays whole
+        return F.when(count, F.round(c, 9).cast("bigint").cast("double")).otherwise(c)
 
     return out.select(*groups, whole(F.col("_m")).alias("mean"), whole(err).alias("error"), "n")
 

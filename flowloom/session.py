@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -23,6 +24,11 @@ MAX_BROADCAST = 64 << 20  # bytes of one broadcast model part
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in _RUNTIME.items():
         spark.conf.set(key, value)
+    # tasks import this package too, also when the program was started in another folder
+    environment, home = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    places = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in places:
+        environment["PYTHONPATH"] = os.pathsep.join([*places, home])
     return spark
 
 
