@@ -133,3 +133,20 @@ def test_enrichment_moves_the_rows_once(spark):
     assert plan.count("REPARTITION_BY_COL") == 2
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert len(joins) == 6 and all("SortMergeJoin [_slice" in line for line in joins)
+
+
+def test_rows_of_one_class_are_ranked_in_many_tasks(spark):
+    """The join with the counts deals rows by slice and class, not by class alone."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(4000).selectExpr("id as row_id", "'a' as label")
+        out = hash_rank(df, ["label"], seeded_key(42, F.col("row_id")), "row_id", total="n")
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r.rn for r in got) == list(range(1, 4001)) and {r.n for r in got} == {4000}
+    assert len({r.task for r in got}) > 1
