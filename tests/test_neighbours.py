@@ -139,3 +139,19 @@ def test_mi_knn_on_missing_values_and_rare_classes(spark):
     got = mi_knn(df, ["x"]).collect()
     assert got[0]["mi"] == pytest.approx(plain_mi([r for r in rows[:40]], "x"), abs=0.05)
     assert mi_knn(df.where("row_id < 0"), ["x"]).count() == 0
+
+
+def test_boxes_in_reach_come_in_bounded_parts(spark):
+    """However many boxes a row reaches, a task holds a fixed number of pairs."""
+    rng = np.random.default_rng(3)
+    names = ["f0", "f1", "f2"]
+    points = N.distinct_points(table(spark, list(enumerate(rng.normal(size=(300, 3)))), 3), names, "row_id")
+    cells, _ = N.space_cells(points, names, per_cell=10)
+    x, bound = rng.normal(size=(40, 3)), np.where(np.arange(40) % 2, 0.3, np.inf)
+    parts = list(cells.reach(x, bound, 16))
+    every = np.arange(len(cells.ids))
+    want = {(i, c) for i in range(40) for c, d in zip(every, cells.gaps(np.repeat(x[i:i + 1], len(every), 0), every))
+            if d <= bound[i]}
+    got = [(int(i), int(c)) for rows, at in parts for i, c in zip(rows, at)]
+    assert len(got) == len(set(got)) and set(got) == want and len(got) > 500
+    assert max(len(rows) for rows, _ in parts) <= 16
