@@ -62,3 +62,27 @@ def test_histogram_trees_refuse_missing_values_and_depths(spark, monkeypatch):
         D.DecisionTree(["f"], max_depth=3).fit(df)
     with pytest.raises(ValueError, match="30 deep"):
         D.DecisionTree(["f"], max_depth=31).fit(df.dropna())
+
+
+def test_large_forest_is_scored_in_parts(spark, monkeypatch):
+    """A forest beyond one broadcast is neither collected nor broadcast, and scores the same."""
+    from flowloom.operators.detectors import forest
+
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a) if i % 50 else None, float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows + rows[:20], "row_id long, a double, b double")  # repeated rows stay
+    make = D.IsolationForest(["a", "b"], n_estimators=12, max_samples=0.5, contamination=0.1)
+
+    def result():
+        model = make.fit(df)
+        out = sorted((r.row_id, r.guess, r.score) for r in model.predict(df).collect())
+        return model, out
+
+    small, want = result()
+    monkeypatch.setattr(forest, "MAX_BROADCAST", 24 * 1000)
+    monkeypatch.setattr(forest, "_CHUNK", 100)
+    monkeypatch.setattr(forest, "_shard_udf", None)
+    large, got = result()
+    assert small.n_shards == 1 and large.n_shards > 2 and len(got) == 420
+    assert [g[:2] for g in got] == [w[:2] for w in want] and large.offset == pytest.approx(small.offset, rel=1e-12)
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-12)
