@@ -142,7 +142,7 @@ def test_rows_of_one_class_are_ranked_in_many_tasks(spark):
     for k, v in off.items():
         spark.conf.set(k, v)
     try:
-        df = spark.range(4000).selectExpr("id as row_id", "'a' as label")
+        df = spark.range(4000).selectExpr("id as row_id", "if(id >= 0, 'a', 'b') as label")  # not a literal, which folds
         out = hash_rank(df, ["label"], seeded_key(42, F.col("row_id")), "row_id", total="n")
         got = out.withColumn("task", F.spark_partition_id()).collect()
     finally:
