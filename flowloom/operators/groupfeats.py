@@ -7,28 +7,31 @@ large share of the rows is combined on many tasks.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.counters import running_count
 from flowloom.operators.prefix import spread, time_slices
+from flowloom.session import materialize
 
 _BINS = {"HH-L3-weight": 8, "HH-L0.01-weight": 100}
 
 
-def _nlogn(n: Column) -> Column:
-    return F.sum(n * F.log(n.cast("double")))
-
-
 def mutual_information(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """MI (nats) of two discrete columns inside each group, from three count tables."""
-    joint = df.groupBy(group, a, b).agg(F.count(F.lit(1)).alias("c"))
-    total = joint.groupBy(group).agg(_nlogn(F.col("c")).alias("_ij"), F.sum("c").alias("_n"))
-    out = total
+    """MI (nats) of two discrete columns inside each group, from three count tables.
+
+    The tables are stacked and summed by group in one aggregate, which nothing has to be sorted for.
+    """
+    c, none = F.col("c"), F.lit(None)
+    joint = materialize(df.where(F.col(group).isNotNull()).groupBy(group, a, b).agg(F.count(F.lit(1)).alias("c")), "joint")
+    term = c * F.log(c.cast("double"))
+    parts = joint.select(group, c.alias("_n"), term.alias("_ij"), none.cast("double").alias("_i"), none.cast("double").alias("_j"))
     for name, col in (("_i", a), ("_j", b)):
         side = joint.groupBy(group, col).agg(F.sum("c").alias("c"))
-        out = out.join(side.groupBy(group).agg(_nlogn(F.col("c")).alias(name)), group)
+        parts = parts.unionByName(side.select(group, term.alias(name)), allowMissingColumns=True)
+    out = parts.groupBy(group).agg(*[F.sum(x).alias(x) for x in ("_n", "_ij", "_i", "_j")])
     n = F.col("_n").cast("double")
     mi = (F.col("_ij") - F.col("_i") - F.col("_j")) / n + F.log(n)
     return out.select(group, F.greatest(F.lit(0.0), mi).alias("MI-dir-L5-weight"))
@@ -79,7 +82,12 @@ def haar_level(df: DataFrame, group: str) -> DataFrame:
 def flow_group_features(df: DataFrame, group: str = "flow_id", src: str = "src_ip_bytes",
                         dst: str = "dst_ip_bytes", label: str = "label", time: str = "stime",
                         row_id: str = "row_id", slices: int | None = None) -> DataFrame:
-    source = time_slices(df.select(group, src, dst, label, time, row_id), time, row_id, slices)
+    """MI, histogram entropies and Haar statistics of every group, with the label of its first row.
+
+    Each part is written by a job of its own and the numbers meet in one aggregate, so that no task holds the
+    sorts and hash tables of several parts at once.
+    """
+    source = materialize(time_slices(df.select(group, src, dst, label, time, row_id), time, row_id, slices), "group-rows")
     sizes = source.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.min(src).cast("double").alias("lo"),
         F.max(src).cast("double").alias("hi"),
@@ -89,6 +97,7 @@ def flow_group_features(df: DataFrame, group: str = "flow_id", src: str = "src_i
         "n4": F.greatest("n", F.lit(4).cast("bigint")),
         "lo": F.when(short, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")),
         "hi": F.when(short, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi"))})
+    sizes = materialize(sizes, "group-sizes")
 
     values = source.groupBy(group, F.col(src).cast("double").alias("x")).agg(
         F.count(F.lit(1)).alias("c"))
@@ -103,6 +112,9 @@ def flow_group_features(df: DataFrame, group: str = "flow_id", src: str = "src_i
     haar = coef.groupBy(group).agg(
         F.sum(v * v).alias("HpHp-L0.01-weight"), F.avg(v).alias("HpHp-L0.01-mean"),
         F.stddev_pop(v).alias("HpHp-L0.01-std"), F.sqrt(F.sum(v * v)).alias("HpHp-L0.01-magnitude"))
-    return (mutual_information(source, group, src, dst)
-            .join(histogram_entropy(cells, group), group).join(haar, group)
-            .join(sizes.select(group, "label"), group))
+    parts = [materialize(part, "group-part") for part in (
+        mutual_information(source, group, src, dst), histogram_entropy(cells, group), haar)]
+    names = [x for part in parts for x in part.columns if x != group]
+    wide = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    wide = wide.groupBy(group).agg(*[F.max(f"`{x}`").alias(x) for x in names])
+    return wide.join(sizes.select(group, "label"), group)
