@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from flowloom.operators.groupfeats import flow_group_features
 
 
@@ -17,3 +19,33 @@ def test_group_features_meet_in_one_aggregate(spark):
     got = {r["flow_id"]: r for r in out.collect()}
     assert set(got) == {"g0", "g1", "g2"} and all(got[f"g{g}"]["label"] == f"l{(g or 3) % 2}" for g in range(3))
     assert all(v is not None for r in got.values() for v in r)
+
+
+def test_quality_learns_from_every_label(spark):
+    from flowloom.llm.ranking import quality_rank
+
+    ids = spark.range(20_300).selectExpr("id as doc_id").withColumn("h", F.xxhash64("doc_id"))
+    last = {r["doc_id"] for r in ids.orderBy(F.desc("h"), F.desc("doc_id")).limit(300).collect()}
+    rows = [(i, "# # # & & |" if i in last else f"the plain words of a text that has {i % 9} more " + "and so on " * (i % 9),
+             int(i not in last)) for i in range(20_300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").repartition(4)
+    # the only worse documents are those of the largest hashes
+    for chunk in (20_000, 3_000):
+        got = {r["doc_id"]: r for r in quality_rank(df, df, chunk=chunk).collect()}
+        assert max(got[i]["score"] for i in last) < min(r["score"] for i, r in got.items() if i not in last)
+
+
+def test_chunks_give_the_fit_of_one(spark):
+    import numpy as np
+
+    from flowloom.llm import ranking
+
+    rng = np.random.default_rng(3)
+    y = (rng.random(3000) < 0.6).astype(int)
+    x = rng.normal(size=(3000, len(ranking.RATIOS) + 5)) + y[:, None] * np.array([1.5, -1] + [0] * 11)
+    df = spark.createDataFrame([(i, int(a), [float(v) for v in b]) for i, (a, b) in enumerate(zip(y, x))],
+                               "_id bigint, y int, x array<double>").repartition(5)
+    whole, plain = ranking.fit(df), ranking.fit_pairs(x, y)
+    assert np.allclose(whole["w"], plain["w"], atol=1e-7) and np.allclose(whole["mean"], plain["mean"])
+    parts = ranking.fit(df, chunk=400)
+    assert np.corrcoef(parts["w"], plain["w"])[0, 1] > 0.99 and ranking.fit(df.where("y = 1")) is None
