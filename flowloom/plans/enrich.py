@@ -12,6 +12,7 @@ from flowloom.operators.contracts import required
 from flowloom.operators.counters import file_order, running_bytes, running_count
 from flowloom.operators.damped import Stat, damped, damped_in_sequence, in_sequence
 from flowloom.operators.prefix import SLICE, spread, time_slices
+from flowloom.session import materialize
 
 _SIGNAL = ["src_ip_bytes", "dst_ip_bytes", "src_pkts", "dst_pkts"]
 _SIGNAL_DASHED = ["src-ip-bytes", "dst-ip-bytes", "src2dst_packets", "dst2src_packets"]
@@ -51,7 +52,9 @@ def by_file(flows: DataFrame, files: DataFrame | None = None, file: str = "sourc
     Without ``files`` they are numbered by the time of their first row.
     """
     files = file_order(flows, file) if files is None else files
-    return in_sequence(flows.join(files.select(file, "file_no"), file), FILE_ORDER)
+    # written: planned as large, the few files would have the rows dealt by file, a whole file to one task
+    files = materialize(files.select(file, "file_no"), "files")
+    return in_sequence(flows.join(files, file), FILE_ORDER)
 
 
 def file_damped(source: DataFrame) -> DataFrame:

@@ -49,3 +49,47 @@ def test_chunks_give_the_fit_of_one(spark):
     assert np.allclose(whole["w"], plain["w"], atol=1e-7) and np.allclose(whole["mean"], plain["mean"])
     parts = ranking.fit(df, chunk=400)
     assert np.corrcoef(parts["w"], plain["w"])[0, 1] > 0.99 and ranking.fit(df.where("y = 1")) is None
+
+
+def test_secret_formats_come_from_every_credential(spark):
+    from flowloom.llm import secrets as X
+    from flowloom.llm.grammar import learn
+
+    one = "kind int, start int, end int, text string"
+    plain = [f"{i * 7919 % 65536:04x}{i:020x}" for i in range(450)]
+    words = [f"plainword{chr(97 + i % 26)}somewhat" for i in range(26)]
+    texts = plain + [f"{'Z' * 20}{i}" for i in range(400)]
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame([(x,) for x in texts], "text string")
+              .withColumn("h", F.xxhash64("text")).collect()}
+    rare = sorted(texts[450:], key=hashes.get)[-30:]  # beyond the 400 smallest hashes
+
+    def found(creds):
+        return spark.createDataFrame([([(0, 0, len(x), x)], [(3, 0, len(w), w) for w in words]) for x in creds],
+                                     f"spans array<struct<{one}>>, tokens array<struct<{one}>>").repartition(3)
+
+    kept = sorted(plain, key=hashes.get)[:410]
+    assert hashes[kept[399]] < min(map(hashes.get, rare))
+    model = X.fit(found(kept + rare + ["Y" * 700]))
+    a = model["kinds"][0]
+    assert sum(a.of_shape(X.shape(x)) for x in rare) / 30 > -2 and a.of_shape("U" * 700) > a.floor / 2
+    assert X.likelihood(model, rare[0]) > 0.5
+    # few examples: the automaton of all of them, as if merged from one list
+    few = X.fit(found(kept[:200] + rare))
+    want = learn(kept[:200] + rare)
+    assert few["kinds"][0].rows == want.rows and few["kinds"][0].floor == want.floor
+    assert few["other"].rows == learn(words).rows
+
+
+def test_rows_are_not_dealt_by_file(spark, monkeypatch):
+    from flowloom.plans import enrich
+
+    monkeypatch.setattr(enrich, "in_sequence", lambda df, order: df)
+    df = spark.range(50_000).selectExpr("id as row_id", "id % 97 as stime", "concat('f', id % 3) as source_file")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        rows = enrich.by_file(df)
+        assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 50_000 and rows.select("file_no").distinct().count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
