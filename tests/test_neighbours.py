@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 from functools import reduce
 from operator import add
 
@@ -141,6 +142,22 @@ def test_mi_knn_on_missing_values_and_rare_classes(spark):
     assert mi_knn(df.where("row_id < 0"), ["x"]).count() == 0
 
 
+def test_mi_knn_sorts_no_ends_of_balls(spark):
+    """Of rows whose balls end in their own slice only sums are written, and no row is written more than once in order."""
+    names = ["a", "b"]
+    rows = [(i, i % 2, float(i % 40), float(i * i % 101)) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, category int, a double, b double")
+    mi_knn(df.limit(9), names).collect()
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    seen = set(os.listdir(root))
+    got = {r["feature"]: r["mi"] for r in mi_knn(df, names, block=400).collect()}
+    written = {n: spark.read.parquet(f"{root}/{n}").count() for n in set(os.listdir(root)) - seen}
+    assert sum(c for n, c in written.items() if n.startswith("ordered-")) == 1200
+    assert sum(c for n, c in written.items() if n.startswith("balls-")) < 300
+    for j, name in enumerate(names):
+        assert got[name] == pytest.approx(plain_mi([(r[0], r[1], r[2 + j]) for r in rows], name), abs=1e-9)
+
+
 def test_boxes_in_reach_come_in_bounded_parts(spark):
     """However many boxes a row reaches, a task holds a fixed number of pairs."""
     rng = np.random.default_rng(3)
