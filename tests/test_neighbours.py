@@ -158,6 +158,17 @@ def test_mi_knn_sorts_no_ends_of_balls(spark):
         assert got[name] == pytest.approx(plain_mi([(r[0], r[1], r[2 + j]) for r in rows], name), abs=1e-9)
 
 
+def test_lists_of_neighbours_are_cut_in_batches(spark):
+    """The k nearest over all visits, points by what they still count; no expression copies a list per entry."""
+    near = spark.createDataFrame([
+        (1, [(0.5, 7, 2), (2.0, 1, 4)]), (1, [(0.5, 3, 1), (1.0, 9, 9)]), (2, [(0.0, 4, 1)]), (3, []),
+    ], f"qid long, near {N._NEAR}")
+    out = N._merged(near, 5)
+    got = {r["qid"]: [tuple(e) for e in r["near"]] for r in out.collect()}
+    assert got == {1: [(0.5, 3, 1), (0.5, 7, 2), (1.0, 9, 2)], 2: [(0.0, 4, 1)], 3: []}
+    assert "aggregate(near" not in out._jdf.queryExecution().toString()
+
+
 def test_boxes_in_reach_come_in_bounded_parts(spark):
     """However many boxes a row reaches, a task holds a fixed number of pairs."""
     rng = np.random.default_rng(3)
