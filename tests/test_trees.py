@@ -128,3 +128,80 @@ def test_split_arrays_equal_the_split_tables(spark):
         for fold in range(5):
             own = [r for r in rows if outer * 5 + fold in r.inner]
             assert 13 <= len(own) <= 18 and sum(r.category for r in own) in (4, 5, 6)
+
+
+def split_rows(spark, n=600, missing=True):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.integers(0, 12) + 6 * (i % 3 == 0)), None if missing and i % 13 == 0 else float(rng.integers(0, 9)),
+             int(i % 3 == 0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, category int")
+    return df, df.select("*", mccv_held(df, 2).alias("held")).withColumn("skip", F.col("held"))
+
+
+def test_growing_and_scoring_in_one_task_equals_two_jobs(spark):
+    from flowloom.operators.detectors.supervised import tree_rows
+
+    _, splits = split_rows(spark)
+    rows, names = tree_rows(splits, ["a", "b"], "category", [0, 1], "skip", "held"), ["f0", "f1"]
+    made = [D.RandomForest(["a", "b"], 40, 5), D.DecisionTree(["a", "b"], 4, 5, "entropy")]
+    specs = [m.spec(2 * i + k, k + 1) for i, m in enumerate(made) for k in range(2)]
+    two = T.score_many(rows, names, specs, T.fit_many(rows, names, specs, 2)).collect()
+    one = T.run_many(rows, names, specs, 2)
+    assert {(r["spec"], r["_id"]): (r["_y"], r["guess"], pytest.approx(r["score"])) for r in two} == \
+        {(r["spec"], r["_id"]): (r["_y"], r["guess"], r["score"]) for r in one.where("_id is not null").collect()}
+    times = one.where("_id is null").collect()
+    assert sorted(r["spec"] for r in times) == [0, 1, 2, 3] and all(r["grown"] > 0 and r["held"] == 0 for r in times)
+
+
+def test_cells_of_few_values_give_the_exact_tree(spark):
+    from flowloom.operators.detectors.supervised import tree_rows
+
+    df, splits = split_rows(spark)
+    rows, names = tree_rows(splits, ["a", "b"], "category", [0, 1], "skip", "held"), ["f0", "f1"]
+    found = T.cells(rows, names, [1, 2], 64)
+    sums = found.groupBy("split").agg(F.sum("train").alias("t"), F.sum("held").alias("h")).collect()
+    assert {(r["split"], r["t"], r["h"]) for r in sums} == {(1, 480, 120), (2, 480, 120)}
+    assert found.where("split = 1").count() < 480 and found.where("f1 is null").count() > 0
+    specs = [D.DecisionTree(["a", "b"], 6).spec(k, k + 1) for k in range(2)]
+
+    def guessed(table):
+        out = T.run_many(table, names, specs, 2).where("_id is not null").groupBy("spec", "_y", "guess", F.round("score", 9))
+        return sorted(map(tuple, out.agg(F.sum("held")).collect()))
+
+    assert guessed(found) == guessed(rows)
+
+
+def test_a_cell_is_drawn_as_often_as_its_rows(spark):
+    x, y, times = np.array([[0.0], [1.0]]), np.array([0, 1]), np.array([5000, 20000])
+    spec = T.Spec(0, 0, 30, 0, None, 2, "gini", 7, True)
+    for nodes in [n for _, n, _ in T._grown(np.arange(2), x, y, times, 2, spec, range(30))]:
+        assert nodes[4][0] == pytest.approx([0.5, 0.5], abs=0.02)  # balanced by the counts, not by the cells
+
+
+def test_larger_protocols_grow_their_trees_over_cells(spark, monkeypatch):
+    from flowloom.operators.detectors import supervised
+    from flowloom.plans import protocols as P
+    from flowloom.plans import runs
+
+    def never(*_):
+        raise AssertionError("one job of the library for each model")
+
+    df, _ = split_rows(spark)
+    made = {"Random Forest": lambda f, s: D.RandomForest(f, 60, 30, seed=s), "Naive Bayes": lambda f, s: D.NaiveBayes(f)}
+    small = {(r.iteration, r.metric): r.value for r in
+             P.mccv_supervised(df.fillna(0.0), ["a", "b"], 2, constructors=made).where("model = 'Random Forest'").collect()}
+    monkeypatch.setattr(runs, "MOST_ROWS", 100)
+    monkeypatch.setattr(supervised, "MOST_ROWS", 100)
+    with monkeypatch.context() as m:
+        m.setattr(supervised, "_fit_tree", never)
+        got = P.mccv_supervised(df.fillna(0.0), ["a", "b"], 2, constructors=made).collect()
+        assert {(r.iteration, r.model) for r in got} == {(i, m) for i in (1, 2) for m in made}
+        large = {(r.iteration, r.metric): r.value for r in got if r.model == "Random Forest"}
+        for i in (1, 2):
+            assert sum(large[i, k] for k in ("TP", "TN", "FP", "FN")) == 120
+            assert large[i, "accuracy"] == pytest.approx(small[i, "accuracy"], abs=0.06) and large[i, "train_time"] > 0
+    # cells that one task cannot hold stay with the library, whole
+    monkeypatch.setattr(T, "MOST_BINNED", 10)
+    made = {"Decision Tree": lambda f, s: D.DecisionTree(f, 5, seed=s)}
+    got = P.mccv_supervised(df.fillna(0.0), ["a", "b"], 1, constructors=made).where("metric in ('TP', 'TN', 'FP', 'FN')")
+    assert got.agg(F.sum("value")).first()[0] == 120
