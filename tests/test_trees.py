@@ -148,8 +148,8 @@ def test_growing_and_scoring_in_one_task_equals_two_jobs(spark):
     two = T.score_many(rows, names, specs, T.fit_many(rows, names, specs, 2)).collect()
     one = T.run_many(rows, names, specs, 2)
     assert {(r["spec"], r["_id"]): (r["_y"], r["guess"], pytest.approx(r["score"])) for r in two} == \
-        {(r["spec"], r["_id"]): (r["_y"], r["guess"], r["score"]) for r in one.where("_id is not null").collect()}
-    times = one.where("_id is null").collect()
+        {(r["spec"], r["_id"]): (r["_y"], r["guess"], r["score"]) for r in one.where("_y is not null").collect()}
+    times = one.where("_y is null").collect()
     assert sorted(r["spec"] for r in times) == [0, 1, 2, 3] and all(r["grown"] > 0 and r["held"] == 0 for r in times)
 
 
@@ -165,7 +165,7 @@ def test_cells_of_few_values_give_the_exact_tree(spark):
     specs = [D.DecisionTree(["a", "b"], 6).spec(k, k + 1) for k in range(2)]
 
     def guessed(table):
-        out = T.run_many(table, names, specs, 2).where("_id is not null").groupBy("spec", "_y", "guess", F.round("score", 9))
+        out = T.run_many(table, names, specs, 2).where("_y is not null").groupBy("spec", "_y", "guess", F.round("score", 9))
         return sorted(map(tuple, out.agg(F.sum("held")).collect()))
 
     assert guessed(found) == guessed(rows)
@@ -205,3 +205,18 @@ def test_larger_protocols_grow_their_trees_over_cells(spark, monkeypatch):
     made = {"Decision Tree": lambda f, s: D.DecisionTree(f, 5, seed=s)}
     got = P.mccv_supervised(df.fillna(0.0), ["a", "b"], 1, constructors=made).where("metric in ('TP', 'TN', 'FP', 'FN')")
     assert got.agg(F.sum("value")).first()[0] == 120
+
+
+def test_rows_with_one_id_are_scored_one_by_one(spark):
+    from flowloom.operators.detectors.supervised import tree_rows
+
+    df, _ = split_rows(spark, 200)
+    ids = F.when(F.col("row_id") % 20 != 0, F.col("row_id") % 50)  # four rows an id, some without any
+    held = F.when(F.col("row_id") < 80, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    rows = df.select(ids.alias("row_id"), "category", "a", "b", held.alias("held"), held.alias("skip"))
+    rows = tree_rows(rows.unionByName(rows), ["a", "b"], "category", [0, 1], "skip", "held")
+    specs = [D.RandomForest(["a", "b"], 90, 4).spec(0, 1)]
+    out = T.run_many(rows, ["f0", "f1"], specs, 2).where("_y is not null")
+    assert out.count() == 160 and out.where("score not between 0 and 1").count() == 0
+    want = {r["_y"]: r["count"] for r in rows.where("size(held) > 0").groupBy("_y").count().collect()}
+    assert {r["_y"]: r["n"] for r in out.groupBy("_y").agg(F.sum("held").alias("n")).collect()} == want
