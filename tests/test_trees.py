@@ -220,3 +220,59 @@ def test_rows_with_one_id_are_scored_one_by_one(spark):
     assert out.count() == 160 and out.where("score not between 0 and 1").count() == 0
     want = {r["_y"]: r["count"] for r in rows.where("size(held) > 0").groupBy("_y").count().collect()}
     assert {r["_y"]: r["n"] for r in out.groupBy("_y").agg(F.sum("held").alias("n")).collect()} == want
+
+
+def test_the_size_of_a_table_does_not_change_its_trees(spark, monkeypatch):
+    from flowloom.plans import protocols as P
+    from flowloom.plans import runs
+
+    df = table(spark, 400)
+    made = {"Decision Tree": lambda f, s: D.DecisionTree(f, 6, seed=s, max_bins=4),
+            "Random Forest": lambda f, s: D.RandomForest(f, 5, 6, seed=s, max_bins=4)}
+
+    def measured():
+        out = P.mccv_supervised(df, ["a", "b"], 1, constructors=made).where("metric not like '%time'")
+        return sorted(map(tuple, out.collect()))
+
+    whole = measured()
+    monkeypatch.setattr(runs, "MOST_ROWS", 50)
+    monkeypatch.setattr(T, "MOST_BINNED", 10)
+    assert measured() == whole
+
+
+def test_a_shallow_tree_is_the_top_of_a_deep_one():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 40, (500, 4)).astype(float), rng.integers(0, 2, 500)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    count = T.drawn(np.arange(500), 5, 2)
+    deep, *rest = [T.Spec(0, 0, 9, d, "sqrt", 2, "gini", 5, True) for d in (30, 0, 3, 7)]
+    w = T._weights(y, 2)
+    cut = T.shares_at(T.grow(x, y, w, count, 2, deep, 2), x, [0, 3, 7, 30])
+    for s in (deep, *rest):
+        assert (cut[s.depth] == T.shares(T.grow(x, y, w, count, 2, s, 2), x)).all()
+    groups = T._shared([deep, T.Spec(1, 0, 20, 4, "log2", 2, "gini", 5, True), T.Spec(2, 0, 1, 4, None, 2, "gini", 5, False)], 4)
+    assert [(g[0].trees, g[0].depth, [s.number for s in g[1:]]) for g in groups] == [(20, 30, [0, 1]), (1, 4, [2])]
+
+
+def test_equal_rows_grow_the_trees_of_the_rows():
+    rng = np.random.default_rng(4)
+    x, y, ids = rng.integers(0, 4, (900, 3)).astype(float), rng.integers(0, 2, 900), rng.integers(0, 10 ** 9, 900)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    spec = T.Spec(0, 0, 4, 12, "sqrt", 3, "gini", 8, True)
+    for tree, nodes, _ in T._grown(ids, x, y, np.ones(900, np.int64), 2, spec, range(4)):
+        want = T.grow(x, y, T._weights(y, 2), T.drawn(ids, 8, tree), 2, spec, tree)
+        assert all((a == b).all() for a, b in zip(nodes, want))
+
+
+def test_specs_that_share_trees_are_scored_as_if_alone(spark):
+    from flowloom.operators.detectors.supervised import tree_rows
+
+    _, splits = split_rows(spark)
+    rows, names = tree_rows(splits, ["a", "b"], "category", [0, 1], "skip", "held"), ["f0", "f1"]
+    specs = [D.RandomForest(["a", "b"], n, d).spec(i, 1) for i, (n, d) in enumerate([(40, 3), (70, 9)])]
+
+    def scored(some):
+        out = T.run_many(rows, names, some, 2).where("_y is not null").drop("grown", "used")
+        return sorted(map(tuple, out.collect()))
+
+    assert scored(specs) == sorted(scored(specs[:1]) + scored(specs[1:]))
