@@ -183,3 +183,26 @@ def test_boxes_in_reach_come_in_bounded_parts(spark):
     got = [(int(i), int(c)) for rows, at in parts for i, c in zip(rows, at)]
     assert len(got) == len(set(got)) and set(got) == want and len(got) > 500
     assert max(len(rows) for rows, _ in parts) <= 16
+
+
+def test_products_choose_the_points_that_differences_choose(monkeypatch):
+    rng = np.random.default_rng(11)
+    r = rng.normal(size=(300, 20)) * 1e-3 + rng.integers(0, 3, (300, 1)) * 1e3  # far from 0: squares cancel
+    r[40:60] = r[:20]  # equally near ones
+    ids, m = rng.permutation(300), rng.integers(1, 3, 300)
+    calls, rough = [], N._perhaps_near
+
+    def counted(*args):
+        calls.append(rough(*args))
+        return calls[-1]
+
+    monkeypatch.setattr(N, "_perhaps_near", counted)
+    for shift, bound in ((0.0, np.inf), (0.0, 5e-5), (-1e3, np.inf), (1e200, np.inf)):
+        x = r + shift
+        args = (ids, m, x), (ids, np.full(300, bound), x), 7, True
+        got = list(zip(*N._nearest(*args)))
+        with monkeypatch.context() as wide:
+            wide.setattr(N, "_WIDE", 10 ** 6)
+            want = list(zip(*N._nearest(*args)))
+        assert all((np.concatenate(a) == np.concatenate(b)).all() for a, b in zip(got, want))
+    assert any(c is not None for c in calls) and calls[-1] is None
