@@ -236,7 +236,6 @@ def test_the_size_of_a_table_does_not_change_its_trees(spark, monkeypatch):
 
     whole = measured()
     monkeypatch.setattr(runs, "MOST_ROWS", 50)
-    monkeypatch.setattr(T, "MOST_BINNED", 10)
     assert measured() == whole
 
 
